@@ -73,7 +73,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``max_bytes`` of ``column`` each, so that workers need bounded memory."""
     for batch in batches:
         sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0))

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality
+from . import exact_dedup, mixing, quality, sentencepiece_codec, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
