@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once per context, so that worker functions import there as here."""
+    context = spark.sparkContext
+    if getattr(context, "_ruleweave_shipped", None):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="ruleweave-code-")) / "ruleweave_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._ruleweave_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def local_path(uri: str) -> str:
     """The path of a ``file:`` URI. Other schemes raise: worker-side files need a mounted folder."""
     if uri.startswith("file:"):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_spans, slices, table, text_of, utf8_bytes
+from .common import hash_spans, map_arrow, slices, table, text_of, utf8_bytes
 from .hash_cache import GrowingCache
 
 MARK = "▁"
@@ -268,7 +268,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             kept = [batch.column(k) for k in range(len(kinds))]
             yield pa.RecordBatch.from_arrays([*kept, *[out[c] for c in outputs]], [*[k.split(" ")[0] for k in kinds], *outputs])
 
-    found = rows.mapInArrow(run, ", ".join([*kinds, *[f"{c} {OUTPUTS[c]}" for c in outputs]]))
+    found = map_arrow(rows, run, ", ".join([*kinds, *[f"{c} {OUTPUTS[c]}" for c in outputs]]))
     return found.select(F.col("id").alias(id_col), *[F.col(f"k{k}").alias(c) for k, c in enumerate(keep)], *outputs)
 
 
