@@ -6,18 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, sentencepiece_codec, token_counts
+from . import exact_dedup, language_id, mixing, quality, sentencepiece_codec, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_warc": warc.op3_warc,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
+        "op6_language_id": language_id.op6_language_id,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.OP2_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op8_mix_sources": mixing.OP8_SQL}
+    return {
+        "op2_quality_rules": quality.OP2_SQL,
+        "op3_warc": warc.OP3_SQL,
+        "op4_exact_dedup": exact_dedup.OP4_SQL,
+        "op8_mix_sources": mixing.OP8_SQL,
+    }
