@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, quality, sentencepiece_codec, token_counts, warc
+from . import exact_dedup, language_id, mixing, near_dedup, quality, sentencepiece_codec, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
         "op6_language_id": language_id.op6_language_id,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": warc.OP3_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
+        "op9_near_dedup": near_dedup.OP9_SQL,
     }
