@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, near_dedup, quality, sentencepiece_codec, token_counts, warc
+from . import exact_dedup, language_id, mixing, near_dedup, quality, sentencepiece_codec, substring_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
         "op6_language_id": language_id.op6_language_id,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
