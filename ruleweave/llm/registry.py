@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, near_dedup, quality, sentencepiece_codec, substring_dedup, token_counts, warc
+from . import exact_dedup, language_id, mixing, near_dedup, ngram_lm, quality, sentencepiece_codec, substring_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_lm": ngram_lm.op1_ngram_lm,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_warc": warc.op3_warc,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
