@@ -27,7 +27,7 @@ def _wide(column: Column, kind: str) -> Column:
 
 
 def _clamped(column: Column, kind: str) -> Column:
-    low, high = (F.lit(x).cast("decimal(38,0)") if abs(x) >= 2**63 or kind in ("i64", "isize", "usize", "u64") else F.lit(x) for x in bounds(kind))
+    low, high = (F.lit(str(x)).cast("decimal(38,0)") if kind in ("i64", "isize", "usize", "u64", "i128", "u128") else F.lit(x) for x in bounds(kind))
     return F.least(F.greatest(column, low), high).cast(SPARK[kind])
 
 
@@ -35,9 +35,8 @@ def _wrapped(column: Column, kind: str) -> Column:
     low, high = bounds(kind)
     if kind in ("i128", "u128"):
         return column.cast(SPARK[kind])
-    size = F.lit(high - low + 1 if kind != "usize" else 2**63).cast("decimal(38,0)")
-    shifted = column.cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")
-    return (F.pmod(shifted, size) + F.lit(low).cast("decimal(38,0)")).cast(SPARK[kind])
+    size, least = (F.lit(str(x)).cast("decimal(38,0)") for x in (high - low + 1, low))
+    return (F.pmod(column.cast("decimal(38,0)") - least, size) + least).cast(SPARK[kind])
 
 
 def no_nan(column: Column) -> Column:
@@ -152,7 +151,7 @@ def cast(a: Typed, kind: str) -> Typed:
         found = F.when(x.rlike(valid), x).try_cast(SPARK[kind])
         if kind in UNSIGNED:
             low, high = bounds(kind)
-            found = F.when((found >= low) & (found <= F.lit(high).cast("decimal(38,0)")), found)
+            found = F.when((found >= F.lit(low)) & (found <= F.lit(str(high)).cast("decimal(38,0)")), found)
         return found, kind
     if s in TEXTS and kind == "bool":
         return F.when(x == "true", F.lit(True)).when(x == "false", F.lit(False)), kind
@@ -281,7 +280,7 @@ FUNCTIONS: dict[str, Callable[..., Typed]] = {
     "string_replace": _text(lambda s, a, b: F.replace(s, a, b)),
     "string_trim": _text(lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")),
     "format": _format,
-    "hash": lambda *a: (F.xxhash64(*[x for x, _ in a]).cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)"), "u64"),
+    "hash": lambda *a: (F.xxhash64(*[x for x, _ in a]).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)"), "u64"),
     "datetime_day": lambda a: (F.dayofmonth(a[0]).cast("bigint"), "u32"),
     "datetime_month": lambda a: (F.month(a[0]).cast("bigint"), "u32"),
     "datetime_month0": lambda a: ((F.month(a[0]) - 1).cast("bigint"), "u32"),

@@ -388,7 +388,7 @@ class Proofs(UdfAlgebra):
         return out
 
     def saturated(self, old: Column, new: Column) -> Column:
-        return F.udf(lambda a, b: self._set(a) == self._set(b), "boolean")(old, new)
+        return F.udf(lambda a, b: a is not None and b is not None and self._set(a) == self._set(b), "boolean")(old, new)
 
     def py_weight(self, a: list) -> float:
         return wmc(self._set(a))

@@ -28,7 +28,7 @@ from .plans.parser import parse
 from .plans.strata import strata
 from .plans.syntax import Atom, Const, Import, ProgramError, Query, Rule, Var, Wild
 from .sources.csv import PROB, read_csv, write_csv
-from .storage import written
+from .storage import ship, written
 from .types import SPARK, of_spark
 
 
@@ -37,6 +37,7 @@ class Program:
 
     def __init__(self, spark: SparkSession, provenance: str | Algebra = "unit", k: int = 3, seed: int = 1234) -> None:
         self.spark, self.algebra, self.seed = spark, algebra(provenance, k), seed
+        ship(spark)
         self.source = normal.Program()
         self.tables: dict[str, list[DataFrame]] = {}
         self.versions: dict[str, int] = {}
@@ -128,6 +129,7 @@ class Program:
 
     def predicate(self, name: str, bound: Sequence[str], free: Sequence[str], python: Callable) -> Program:
         """A table function: from bound arguments, a Python function yields tuples of the free ones."""
+        self.source.computed.add(name)
         schema = T.ArrayType(T.StructType([T.StructField(f"c{k}", SPARK[t]) for k, t in enumerate(free)]))
         made = F.udf(lambda *a: [x if isinstance(x, tuple) else (x,) for x in python(*a)], schema)
         self.predicates[name] = Predicate(len(bound), tuple(free), rows=lambda *args: made(*[c.cast(SPARK[t]) for (c, _), t in zip(args, bound, strict=True)]))
@@ -135,6 +137,7 @@ class Program:
 
     def tagged_predicate(self, name: str, bound: Sequence[str], python: Callable) -> Program:
         """A predicate of bound arguments that holds with the probability that a Python function gives."""
+        self.source.computed.add(name)
         made = F.udf(python, "double")
         self.predicates[name] = Predicate(len(bound), prob=lambda *args: made(*[c for c, _ in args]))
         return self

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once per context, so that Python functions import there as here."""
+    context = spark.sparkContext
+    if getattr(context, "_ruleweave_shipped", None):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="ruleweave-code-")) / "ruleweave_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._ruleweave_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ruleweave/{name}-{uuid.uuid4().hex}"
 
