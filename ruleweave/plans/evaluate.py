@@ -386,6 +386,25 @@ class Evaluator:
                 types[x.name] = kind
         return Table(df.drop("__row"), types)
 
+    def foreign_not(self, table: Table, atom: Atom) -> Table:
+        """Rows for which a computed predicate of bound arguments doesn't hold."""
+        p = self.predicates[atom.pred]
+        args = [self.expr(x, table.types) for x in atom.args[: p.bound]]
+        if p.holds is not None:
+            return Table(table.df.where(~p.holds(*args)), table.types)
+        if p.rows is None:
+            raise ProgramError(f"{atom.pred} can't be negated")
+        wanted = [(k, x) for k, x in enumerate(atom.args[p.bound :]) if not isinstance(x, Wild)]
+        values = [(k, self.expr(x, table.types, None if p.free[k][0] == "=" else p.free[k])[0]) for k, x in wanted]
+
+        def same(row: Column) -> Column:
+            out = F.lit(True)
+            for k, value in values:
+                out = out & (row[f"c{k}"] == value)
+            return out
+
+        return Table(table.df.where(~F.exists(p.rows(*args), same)), table.types)
+
     # bodies
 
     def body(self, literals: tuple, rel: Callable[[int, str], tuple[DataFrame, list[str]]], outer: set[str]) -> Table:
@@ -410,7 +429,9 @@ class Evaluator:
                     found = self.foreign(Table(started(), table.types), x) if needs(Atom("", x.args[: self.predicates[x.pred].bound])) <= set(table.types) else None
                     if found is not None:
                         table, done = found, k
-                elif isinstance(x, Not) and {v for v in needs(x)} <= set(table.types):
+                elif isinstance(x, Not) and needs(x) <= set(table.types) and x.of.pred in self.predicates and rel(k, x.of.pred) is None:
+                    table, done = self.foreign_not(Table(started(), table.types), x.of), k
+                elif isinstance(x, Not) and needs(x) <= set(table.types):
                     df, kinds = rel(k, x.of.pred)
                     table, done = self.without(Table(started(), table.types), self.scan(x.of, df, kinds)), k
                 if done is not None:

@@ -61,6 +61,7 @@ CASES = [
     ("mutual recursion", "rel even = {0}\nrel even(y) = odd(x), y == x + 1, y < 6\nrel odd(y) = even(x), y == x + 1, y < 6\nrel out(x) = even(x)", [(0,), (2,), (4,)]),
     ("reduce rule", "rel r = {(0, 1), (0, 2)}\nrel m = max(x: r(_, x))\nrel out(x) = m(x)", [(2,)]),
     ("enum", "type C = RED | GREEN = 5 | BLUE\nrel out = {RED, GREEN, BLUE}", [(0,), (5,), (6,)]),
+    ("not in a range", "rel r = {1, 4, 9}\nrel out(x) = r(x), not range(3, 6, x)", [(1,), (9,)]),
     ("sum of nothing", "rel r = {1}\nrel out(s) = s := sum(x: r(x), x > 5)", [(0,)]),
 ]
 
