@@ -11,11 +11,14 @@ the whole sequence is one shingle; without words the set is empty and links with
 3. Registers are banded (``ROWS`` a band; a pair of similarity 0.8 shares none of the 32 bands with a probability
    of 3e-6). Within a band value each document is paired with the least id there: as many pairs as rows.
 4. Pairs whose sizes or jointly estimated similarity (maximum likelihood from the counts of larger, smaller and equal
-   registers and the set sizes) can't reach the threshold go; the estimate may be ``SLACK`` (six standard deviations) too low.
+   registers and the set sizes) can't reach the threshold go; the estimate may be ``SLACK`` (five standard deviations) too low.
    All others are confirmed on full sets.
-5. Components of the confirmed links. In band values that still hold several components, every pair of documents of
-   different components is then tested as well, so what step 3 left out loses no link: within a component no pair
-   is needed. Only members outside a value's largest component are paired with the others.
+5. Components of the confirmed links. In band values that still hold several components, members outside the largest one
+   are paired with a changing member of it, again as many pairs as rows; these rounds go on while they find links and
+   much is left. Then all documents of different components that share a band value are compared on their full
+   sets, so what was left out loses no link: within a component no comparison is needed. They are dealt in blocks of
+   about ``BLOCK`` documents, members outside the largest component against all; a block pair is one product
+   of 0/1 matrices, and only links leave it.
 
 Links, components and fingerprints stay distributed; every step is written to the shared folder.
 
@@ -36,8 +39,10 @@ from pyspark.sql import functions as F
 from .common import TO_LOWER, hash_spans, map_arrow, mix64, slices, table, text_of, utf8_bytes, word_spans, written
 from .components import components
 
-REGISTERS, ROWS, BASE, RATE, TOP, SLACK = 160, 5, 1.02, 20.0, 4_000, 0.2
+REGISTERS, ROWS, BASE, RATE, TOP, SLACK = 160, 5, 1.02, 20.0, 4_000, 0.16
 SIMILAR = 80
+#: Rounds of changing partners go on while all pairs that are left are more than so many times the rows, up to a number.
+LEFT, ROUNDS, BLOCK = 1, 8, 256
 _STEP = 512
 
 
@@ -100,7 +105,7 @@ def likely_similarity(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray,
 
 
 def _sketched(k: int):
-    band = np.repeat(np.arange(REGISTERS // ROWS, dtype=np.uint64), 1)
+    band = np.arange(REGISTERS // ROWS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -160,6 +165,88 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int) -> DataF
     return written(map_arrow(both, _confirmed(k), f"a {kind}, b {kind}").distinct(), "near-links")
 
 
+def _set_blobs(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), k)], pa.binary())], ["id", "blob"])
+
+    return run
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The sizes of the intersections of all left with all right sets, by products of 0/1 matrices of ``width`` columns."""
+    lengths = [len(s) for s in (*left, *right)]
+    values = np.concatenate([*left, *right])
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1
+    keep = shared[column]
+    column, rows = (np.cumsum(shared) - 1)[column[keep]], rows[keep]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        x, y = np.searchsorted(column, [a, a + width])
+        table_ = np.zeros((len(lengths), width), np.float32)
+        table_[rows[x:y], column[x:y] - a] = 1
+        out += table_[: len(left)] @ table_[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components within blocks; rows are ordered by block."""
+
+    def solve(block: pa.Table) -> pa.RecordBatch | None:
+        side = np.asarray(block.column("side")) == 0
+        if side.all() or not side.any():
+            return None
+        parts = []
+        for part in (block.filter(pa.array(side)), block.filter(pa.array(~side))):
+            parts.append((part.column("id").combine_chunks(), np.asarray(part.column("component")), [np.frombuffer(b.as_buffer(), np.uint64) for b in part.column("blob")]))
+        (ids_a, comp_a, sets_a), (ids_b, comp_b, sets_b) = parts
+        common = common_counts(sets_a, sets_b)
+        total = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b])[None, :]
+        i, j = np.nonzero((100 * common >= SIMILAR * (total - common)) & (comp_a[:, None] != comp_b[None, :]))
+        if not len(i):
+            return None
+        return pa.RecordBatch.from_arrays([ids_a.take(pa.array(i)), ids_b.take(pa.array(j))], ["a", "b"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = pa.Table.from_batches([batch])
+        held = block if held is None else pa.concat_tables([held, block])
+        keys = np.stack([np.asarray(held.column(c)) for c in ("band", "mine", "theirs")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        begin = 0
+        for cut in cuts.tolist():
+            found = solve(held.slice(begin, cut - begin))
+            if found is not None:
+                yield found
+            begin = cut
+        held = held.slice(begin)
+    if held is not None:
+        found = solve(held)
+        if found is not None:
+            yield found
+
+
+def _cross_links(placed: DataFrame, mixed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """All links between documents of different components that share a band value."""
+    kind = placed.schema["id"].dataType.simpleString()
+    rows = written(placed.join(mixed.select("band", "major", "n", "most"), "band"), "near-placed")
+    sets = written(map_arrow(texts.join(rows.select("id").distinct(), "id", "left_semi"), _set_blobs(k), f"id {kind}, blob binary"), "near-sets")
+    n_mine, n_theirs = F.ceil((F.col("n") - F.col("most")) / BLOCK), F.ceil(F.col("n") / BLOCK)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    mine = rows.where("component <> major").select("band", "id", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), n_mine).alias("mine"), spread(n_theirs).alias("theirs"))
+    theirs = rows.select("band", "id", "component", F.lit(1).alias("side"), spread(n_mine).alias("mine"), F.pmod(F.xxhash64("id"), n_theirs).alias("theirs"))
+    blocks = mine.unionByName(theirs).join(sets, "id").repartition("band", "mine", "theirs").sortWithinPartitions("band", "mine", "theirs")
+    found = map_arrow(blocks, _block_links, f"a {kind}, b {kind}")
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+
+
 def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -178,15 +265,28 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     found = written(components(links), "near-components")
 
     # what is in one band value but in several components
-    placed = together.join(found, together["id"] == found["node"], "left").select("band", "id", "first", F.coalesce("component", "id").alias("component"))
-    parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("band").agg(F.max_by("component", "n").alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).where("kinds > 1 and n > 2")
-    placed = written(placed.join(mixed.select("band", "major"), "band").where("id <> first"), "near-mixed")
-    minor, all_ = placed.where("component <> major").alias("x"), placed.alias("y")
-    cross = minor.join(all_, F.col("x.band") == F.col("y.band")).where("x.component <> y.component and (y.component = y.major or x.id < y.id)")
-    more = _links(cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), reps, texts, k)
-    if not more.isEmpty():
-        found = written(components(links.union(more)), "near-components")
+    n_rows, round_ = together.count(), 0
+    while True:
+        placed = together.join(found, together["id"] == found["node"], "left").select("band", "id", "first", F.coalesce("component", "id").alias("component"))
+        key = F.struct(F.xxhash64("id", F.lit(round_)).alias("k"), F.col("id").alias("id"))
+        parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("drawn"))
+        mixed = parts.groupBy("band").agg(F.max_by(F.struct("component", "drawn"), "n").alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most"))
+        mixed = written(mixed.where("kinds > 1 and n > 2").select("band", "n", "most", F.col("major.component").alias("major"), F.col("major.drawn.id").alias("drawn")), "near-mixed")
+        pairs = mixed.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
+        if pairs <= LEFT * n_rows or round_ == ROUNDS:
+            break
+        minor = placed.join(mixed, "band").where("component <> major")
+        minor = written(minor.select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")).distinct(), "near-drawn")
+        more, tried = _links(minor, reps, texts, k), minor.count()
+        links, n_more = links.union(more), more.count()
+        found = written(components(links), "near-components") if n_more else found
+        round_ += 1
+        if 20 * n_more < tried:
+            break
+    if pairs:
+        more = _cross_links(placed, mixed, texts, k)
+        if not more.isEmpty():
+            found = written(components(links.union(more)), "near-components")
 
     joined = members.join(found, members["rep"] == found["node"], "left")
     component = F.coalesce("component", "rep")
