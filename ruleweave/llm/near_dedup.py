@@ -237,6 +237,17 @@ def _cross_links(placed: DataFrame, mixed: DataFrame, texts: DataFrame, k: int)
     """All links between documents of different components that share a band value."""
     kind = placed.schema["id"].dataType.simpleString()
     rows = written(placed.join(mixed.select("band", "major", "n", "most"), "band"), "near-placed")
+    # band values that share documents hold much the same ones: where that is no more work, they are one cluster,
+    # and each document's set is dealt out once for all of them
+    clusters = written(components(rows.select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "component_"), "near-clusters")
+    rows = rows.join(clusters, F.col("id") == F.col("node"), "left").withColumn("cluster", F.coalesce("component_", "id"))
+    rows = written(rows.select("band", "id", "component", "major", "n", "most", "cluster"), "near-clustered")
+    apart = rows.groupBy("cluster", "band").agg(F.max((F.col("n") - F.col("most")) * F.col("n")).alias("work")).groupBy("cluster").agg(F.sum("work").alias("apart"))
+    inside = rows.select("cluster", "id", "component").distinct()
+    parts = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.max_by("component", "m").alias("c_major"), F.sum("m").alias("c_n"), F.max("m").alias("c_most"))
+    whole = written(parts.join(apart, "cluster").where((F.col("c_n") - F.col("c_most")) * F.col("c_n") <= F.col("apart")).drop("apart"), "near-whole")
+    together = inside.join(whole, "cluster").select(F.xxhash64("cluster").alias("band"), "id", "component", F.col("c_major").alias("major"), F.col("c_n").alias("n"), F.col("c_most").alias("most"))
+    rows = written(rows.join(whole.select("cluster"), "cluster", "left_anti").select("band", "id", "component", "major", "n", "most").union(together), "near-dealt")
     sets = written(map_arrow(texts.join(rows.select("id").distinct(), "id", "left_semi"), _set_blobs(k), f"id {kind}, blob binary"), "near-sets")
     n_mine, n_theirs = F.ceil((F.col("n") - F.col("most")) / BLOCK), F.ceil(F.col("n") / BLOCK)
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
