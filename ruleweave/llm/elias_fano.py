@@ -24,11 +24,13 @@ class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits in unary, with a count of bits before every word."""
 
     def __init__(self, flat: np.ndarray) -> None:
+        flat = np.asarray(flat).view(np.ndarray)
         self.n, self.low_bits, high, low, cum = (int(x) for x in flat[:5])
         at = 5
         self.high, at = flat[at : at + high], at + high
         self.low, at = flat[at : at + low], at + low
         self.ones = flat[at : at + cum].view(np.uint32)[: high + 1]
+        self.zeros = np.arange(high + 1, dtype=np.int64) * 64 - self.ones
         self.size = at + cum
 
     @staticmethod
@@ -37,7 +39,7 @@ class EliasFano:
         n = len(values)
         bits = max(0, (int(universe) // max(1, n)).bit_length() - 1)
         tops = (values >> _U(bits)).astype(np.int64)
-        size = n + (int(universe) >> bits) + 2
+        size = n + (int(universe) >> bits) + 3
         marks = np.zeros(-(-size // 64) * 64, np.uint8)
         marks[tops + np.arange(n)] = 1
         high = np.packbits(marks, bitorder="little").view(_U)
@@ -73,30 +75,33 @@ class EliasFano:
         return ((at - i) << self.low_bits) | self._tails(i).astype(np.int64)
 
     def _begin(self, tops: np.ndarray) -> np.ndarray:
-        """The first place whose high part is at least ``tops``."""
-        k = np.maximum(tops - 1, 0)  # the zero before it
-        low, high = np.zeros(len(k), np.int64), np.full(len(k), len(self.high), np.int64)
-        for _ in range(max(1, len(self.high)).bit_length()):  # zeros before a word are 64 * word - ones
-            mid = (low + high) >> 1
-            up = mid * 64 - self.ones[mid].astype(np.int64) <= k
-            low, high = np.where(up, mid, low), np.where(up, high, mid)
-        at = low * 64 + _select_in_word(~self.high[low], k - (low * 64 - self.ones[low].astype(np.int64)))
+        """The first place whose high part is at least ``tops``: behind the zero of the part before."""
+        k = np.maximum(tops - 1, 0)
+        word = np.searchsorted(self.zeros, k, side="right") - 1
+        at = word * 64 + _select_in_word(~self.high[word], k - self.zeros[word])
         return np.where(tops > 0, at - k, 0)
 
     def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The place in [begin, end) of each value, or -1: the successor is sought in its high part's bucket."""
+        """The place in [begin, end) of each value, or -1.
+
+        The successor is sought within the bucket of the value's high part, by halving on the low bits alone.
+        """
         found = np.full(len(values), -1, np.int64)
         if not len(values) or not self.n:
             return found
         tops = values >> self.low_bits
-        ok = np.flatnonzero((begin < end) & (tops < len(self.high) * 64 - self.n))
-        at = np.maximum(self._begin(tops[ok]), begin[ok])
-        while len(ok):
-            live = at < end[ok]
-            ok, at = ok[live], at[live]
-            here = self.access(at)
-            hit = here == values[ok]
-            found[ok[hit]] = at[hit]
-            on = here < values[ok]
-            ok, at = ok[on], at[on] + 1
+        ok = np.flatnonzero((begin < end) & (tops + 1 < len(self.high) * 64 - self.n))
+        tops, tails = tops[ok], (values[ok] & ((1 << self.low_bits) - 1)).astype(_U)
+        low, high = np.maximum(self._begin(tops), begin[ok]), np.minimum(self._begin(tops + 1), end[ok])
+        last = high.copy()
+        live = np.flatnonzero(low < high)
+        while len(live):
+            mid = (low[live] + high[live]) >> 1
+            less = self._tails(mid) < tails[live]
+            low[live] = np.where(less, mid + 1, low[live])
+            high[live] = np.where(less, high[live], mid)
+            live = live[low[live] < high[live]]
+        here = np.flatnonzero(low < last)
+        hit = here[self._tails(low[here]) == tails[here]]
+        found[ok[hit]] = low[hit]
         return found

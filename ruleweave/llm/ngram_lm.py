@@ -155,7 +155,7 @@ class Files:
     def part(self, p: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes and counts of a part of the vocabulary."""
         if p not in self.parts:
-            flat = np.memmap(f"{self.model.folder}/words-{p:02d}", np.int64, "r")
+            flat = np.memmap(f"{self.model.folder}/words-{p:02d}", np.int64, "r").view(np.ndarray)
             n = int(flat[0])
             self.parts[p] = flat[1 : n + 1], flat[n + 1 : 2 * n + 1]
         return self.parts[p]
@@ -291,7 +291,7 @@ class Trie:
     """A shard's levels, mapped into memory."""
 
     def __init__(self, path: str) -> None:
-        flat = np.memmap(path, _U, "r")
+        flat = np.memmap(path, _U, "r").view(np.ndarray)
         n = int(flat[0])
         at = flat[1 : n + 2].astype(np.int64) + n + 2
         parts = [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
