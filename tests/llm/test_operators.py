@@ -381,6 +381,16 @@ def test_repeated_passages_brute_force(spark):
         assert len(set(a) & set(b)) >= 0.6 * len(set(a))
 
 
+def test_repeated_passages_despite_holders_of_parts(spark):
+    """B and C share a passage whose seeds all have earlier holders, of too few words each."""
+    p = [f"p{j}" for j in range(80)]
+    around = lambda n, w: [f"{n}a{j}" for j in range(30)] + w + [f"{n}z{j}" for j in range(30)]
+    texts = {1: around("k", p[:46]), 2: around("l", p[38:]), 3: around("m", p), 4: around("n", p), 5: around("o", p[:50]), 6: p[29:79]}
+    df = spark.createDataFrame([(i, " ".join(texts[i])) for i in [*texts, 4]], "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in substring_dedup.repeated_passages(df).select("doc_id", "partner", "first_word", "end_word", "partner_first_word", "partner_end_word", "equal_words").collect()}
+    assert {(4, 3, 30, 110, 30, 110, 80), (5, 3, 30, 80, 30, 80, 50), (6, 3, 0, 50, 59, 109, 50)} <= got
+
+
 def test_chains_prefer_collinear_matches():
     a, b = [0, 10, 20, 500, 30], [5, 15, 25, 30, 35]
     assert substring_dedup.chains(a, b)[0] == [0, 1, 2, 4]
