@@ -391,6 +391,17 @@ def test_repeated_passages_despite_holders_of_parts(spark):
     assert {(4, 3, 30, 110, 30, 110, 80), (5, 3, 30, 80, 30, 80, 50), (6, 3, 0, 50, 59, 109, 50)} <= got
 
 
+def test_repeated_passages_next_to_each_other(spark):
+    """Two edited passages with other words between them, which are too unlike as one."""
+    p, q = [f"p{j}" for j in range(60)], [f"q{j}" for j in range(60)]
+    one = [f"a{j}" for j in range(30)] + p + [f"b{j}" for j in range(38)] + q + [f"c{j}" for j in range(30)]
+    two = [f"d{j}" for j in range(30)] + p + [f"e{j}" for j in range(38)] + q + [f"f{j}" for j in range(30)]
+    for j in (50, 70, 148, 168):
+        two[j] = "zz"
+    got = substring_dedup.repeated_passages(spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["partner"], r["first_word"], r["end_word"]) for r in got.collect()) == [(2, 1, 30, 90), (2, 1, 128, 188)]
+
+
 def test_chains_prefer_collinear_matches():
     a, b = [0, 10, 20, 500, 30], [5, 15, 25, 30, 35]
     assert substring_dedup.chains(a, b)[0] == [0, 1, 2, 4]
