@@ -8,12 +8,18 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys with at least this share of the rows are hot; there are at most so many of them as the share's inverse.
+HOT = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder of our own only where it is unset."""
+    """``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary folder; a cluster has to set it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ruleweave-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,9 +40,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/ruleweave/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder from whatever store it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Stored:
     """A table that grows by parts, each written once."""
 
@@ -54,7 +67,38 @@ class Stored:
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
+    def drop(self) -> None:
+        """Delete all parts; nothing may read them any more."""
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths = []
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once and read back from the shared folder."""
-    return Stored(df.sparkSession, name).add(df)
+    stored = Stored(df.sparkSession, name)
+    out = stored.add(df)
+    out._ruleweave_stored = stored
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave, once all that reads them is written itself."""
+    for df in tables:
+        df._ruleweave_stored.drop()
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key and in ``rows`` how many rows of ``left`` have it.
+
+    Keys with a ``HOT``-th of the ``total`` rows or more would fill a task each. There are at most ``HOT`` of them, so
+    that part of ``right`` is broadcast and the rows stay where they are; all other keys meet by a shuffle. ``right`` should be
+    a written table or cheap, as it is read twice. Parts are told apart by a hash of the key, on both sides alike.
+    """
+    of = F.xxhash64(*keys)
+    hot = [r[0] for r in right.where(F.col("rows") * HOT >= F.lit(total)).select(of).distinct().collect()]
+    right = right.drop("rows")
+    if not hot:
+        return left.join(right, keys, how)
+    near = of.isin(hot)
+    return left.where(near).join(F.broadcast(right.where(near)), keys, how).unionByName(left.where(~near).join(right.where(~near), keys, how))
