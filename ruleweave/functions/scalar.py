@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import FLOATS, INTEGERS, NUMBERS, SPARK, TEXTS, UNSIGNED, bounds
+from ..types import FLOATS, INTEGERS, NUMBERS, SPARK, TENSORS, TEXTS, UNSIGNED, bounds
 
 Typed = tuple[Column, str]
 
@@ -285,6 +285,6 @@ FUNCTIONS: dict[str, Callable[..., Typed]] = {
     "datetime_month": lambda a: (F.month(a[0]).cast("bigint"), "u32"),
     "datetime_month0": lambda a: ((F.month(a[0]) - 1).cast("bigint"), "u32"),
     "datetime_year": lambda a: (F.year(a[0]), "i32"),
-    "dim": lambda a: (F.when(a[0].isNotNull(), 1).cast("bigint"), "usize"),
+    "dim": lambda a: (F.when(a[0].isNotNull(), TENSORS[a[1]]).cast("bigint"), "usize"),
     "dot": lambda a, b: (F.aggregate(F.zip_with(a[0], b[0], lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, x: s + x), "f64"),
 }

@@ -6,13 +6,14 @@ arguments are bound. A predicate that gives tags returns them as probabilities.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import SPARK
+from ..types import SPARK, TENSORS
 from .scalar import Typed
 
 
@@ -59,20 +60,36 @@ def _found(s: Typed, part: Typed) -> Column:
     return F.when(step > 0, F.transform(begins, lambda b: F.struct(b.alias("c0"), (b + F.length(part[0])).alias("c1")))).otherwise(F.array())
 
 
-def _sech(a: Typed, b: Typed) -> Column:
-    return F.lit(1.0) / F.cosh((a[0] - b[0]).cast("double") / 2)
+#: Sigmoid shapes for soft comparisons, of the scaled difference.
+SIGMOIDS: dict[str, Callable[[Column], Column]] = {
+    "logistic": lambda x: 1 / (1 + F.exp(-x)),
+    "reciprocal": lambda x: x / (1 + 2 * F.abs(x)) + 0.5,
+    "cauchy": lambda x: F.atan(x) / F.lit(math.pi) + 0.5,
+    "optimal": lambda x: F.when(x < -0.25, -1 / (16 * x)).when(x > 0.25, 1 - 1 / (16 * x)).otherwise(x + 0.5),
+}
 
 
-def logistic(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
+def soft_comparisons(shape: str = "logistic", beta: float = 1.0) -> dict[str, Predicate]:
+    """Comparisons that hold with a probability: orders by the sigmoid of ``beta`` times the difference, equality by the
+    steepness of the logistic one there, which is 1 where the operands are equal."""
+    sigmoid = SIGMOIDS[shape]
+    scaled = lambda a, b: F.lit(float(beta)) * _difference(a, b)
+    equal = lambda a, b: 1 / F.cosh(scaled(a, b) / 2)
+    return {
+        "soft_eq": Predicate(2, prob=equal),
+        "soft_neq": Predicate(2, prob=lambda a, b: 1 - equal(a, b)),
+        "soft_gt": Predicate(2, prob=lambda a, b: sigmoid(scaled(a, b))),
+        "soft_lt": Predicate(2, prob=lambda a, b: sigmoid(scaled(b, a))),
+    }
 
 
-#: Sigmoid shapes for soft comparisons.
-SIGMOIDS: dict[str, Callable[[Column], Column]] = {
-    "logistic": logistic,
-    "reciprocal": lambda x: F.when(x >= 0, 1 - 1 / (2 * (1 + x))).otherwise(1 / (2 * (1 - x))),
-    "cauchy": lambda x: F.atan(x) / F.lit(3.141592653589793) + 0.5,
-}
+def _shape(x: Typed) -> Column:
+    """(dimension, size) of a tensor; its rows are of one length."""
+    sizes, inner = [], x[0]
+    for k in range(TENSORS[x[1]]):
+        sizes.append(F.struct(F.lit(k).cast("bigint").alias("c0"), F.coalesce(F.size(inner), F.lit(0)).cast("bigint").alias("c1")))
+        inner = F.get(inner, 0)
+    return F.array(*sizes)
 
 
 def _difference(a: Typed, b: Typed) -> Column:
@@ -86,11 +103,8 @@ PREDICATES: dict[str, Predicate] = {
     "string_find": Predicate(2, ("usize", "usize"), rows=_found),
     "string_split": Predicate(2, ("String",), rows=_parts),
     "datetime_ymd": Predicate(1, ("i32", "u32", "u32"), rows=lambda d: F.array(F.struct(F.year(d[0]).alias("c0"), F.month(d[0]).cast("bigint").alias("c1"), F.dayofmonth(d[0]).cast("bigint").alias("c2")))),
-    "tensor_shape": Predicate(1, ("usize", "usize"), rows=lambda x: F.array(F.struct(F.lit(0).cast("bigint").alias("c0"), F.size(x[0]).cast("bigint").alias("c1")))),
+    "tensor_shape": Predicate(1, ("usize", "i64"), rows=_shape),
     "float_eq": Predicate(2, holds=lambda a, b: F.abs(a[0] - b[0]) < 0.001),
-    "soft_eq": Predicate(2, prob=_sech),
-    "soft_neq": Predicate(2, prob=lambda a, b: 1 - _sech(a, b)),
-    "soft_gt": Predicate(2, prob=lambda a, b: logistic(_difference(a, b))),
-    "soft_lt": Predicate(2, prob=lambda a, b: logistic(_difference(b, a))),
+    **soft_comparisons(),
     "new_tag_variable": Predicate(0, prob=lambda: F.lit(1.0)),
 }

@@ -2,14 +2,18 @@
 
 Input: a DataFrame of group, argument and value columns (and a tag column), already reduced to distinct rows. Without
 tags (or with !) aggregates are plain SQL aggregates and windows. With tags, count, sum, prod, avg, min, max, exists and
-string_join have a result for every possible world: count by dynamic programming, min, max and exists in closed form, the
-others by enumerating the subsets of a group, of at most ``MOST`` rows.
+string_join have a result for every possible world. With plain probabilities, exists, min and max are closed forms over
+grouped aggregates and running products, and count is dynamic programming over arrays, all in the JVM. Other tags, and sum, prod,
+avg and string_join, use dynamic programming over the partial results in Python: the work grows with the number of different
+partial results, not with the number of worlds.
+
+Groups are gathered in one row only where the result needs them whole: string_join, count over worlds, and what runs in Python.
+min, max, top and unique are rank windows, of which Spark keeps only the first ranks of each partition before it shuffles.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -20,9 +24,8 @@ from pyspark.sql import types as T
 
 from ..plans.syntax import ProgramError
 from ..types import INTEGERS, SPARK
-from .tags import TAG, Algebra
+from .tags import TAG, Algebra, MaxMultProb
 
-MOST = 14
 #: Aggregates that keep each row's own tag.
 KEEPING = {"enumerate", "rank", "sort", "argsort", "top", "unique", "categorical", "uniform", "normalize", "softmax", "disjunct"}
 #: The parameters that each aggregate takes, in order.
@@ -58,12 +61,12 @@ def parameters(op: str, given: tuple) -> dict[str, Any]:
     names = PARAMETERS.get(op, ())
     places = [v for n, v in given if n is None]
     if len(places) > (1 if names else 0):
-        raise ProgramError(f"{op}: expected at most {1 if names else 0} parameter, found {len(places)}")
+        raise ProgramError(f"{op}: too many parameters ({len(places)})")
     out = dict(zip(names, places, strict=False))
     for name, value in given:
         if name is not None:
             if name not in names:
-                raise ProgramError(f"{op}: Unknown named parameter `{name}`")
+                raise ProgramError(f"{op} has no parameter named {name}")
             out[name] = value
     return out
 
@@ -72,7 +75,7 @@ def output_types(spec: Spec) -> list[str]:
     """The types of the columns that an aggregate gives."""
     op = spec.op
     if op in ("argmin", "argmax") and not spec.args:
-        raise ProgramError(f"{op}: Expected non-empty argument variables")
+        raise ProgramError(f"{op} needs variables in brackets, whose values it gives")
     return {
         "count": ["usize"],
         "sum": spec.value_types[:1],
@@ -99,7 +102,7 @@ def aggregate(rows: DataFrame, spec: Spec, algebra: Algebra, domain: DataFrame |
     if spec.op in KEEPING:
         out = _keeping(rows, spec, algebra)
     elif soft:
-        out = _worlds(rows, spec, algebra, domain is not None or not spec.groups)
+        out = _counted_worlds(rows, spec, algebra) if algebra.plain and spec.op in ("exists", "min", "max", "argmin", "argmax", "count") else _worlds(rows, spec, algebra)
     else:
         out = _plain(rows, spec, algebra)
     return _with_empty(out, spec, algebra, domain, soft)
@@ -141,7 +144,7 @@ def _keeping(rows: DataFrame, spec: Spec, algebra: Algebra) -> DataFrame:
         rows = rows.withColumn(TAG, F.when(total != 0, scaled / total).otherwise(F.lit(0.0)))
         return picked(None, columns)
     if op == "disjunct":
-        if algebra.type is None or not algebra.type.startswith("array<array"):
+        if not algebra.proofs:
             return picked(None, columns)
         group = F.xxhash64(F.lit("disjunct"), *by, *spec.args)
         own = F.xxhash64(F.lit("disjunct"), *by, *columns)
@@ -214,12 +217,41 @@ def _joined(spec: Spec) -> Column:
     return F.when(F.count(F.lit(1)) >= 0, F.array_join(F.transform(ordered, lambda x: x[spec.values[0]].cast("string")), spec.params.get("sep", "")))
 
 
-def _worlds(rows: DataFrame, spec: Spec, algebra: Algebra, has_empty: bool) -> DataFrame:
+def _counted_worlds(rows: DataFrame, spec: Spec, algebra: Algebra) -> DataFrame:
+    """exists, count and extremes in all worlds, for tags that are plain numbers."""
+    op, by, tag = spec.op, spec.groups, F.col(TAG)
+    if op == "exists":
+        total = F.coalesce(algebra.sum(tag), algebra.zero())
+        whole = rows.groupBy(*by).agg(total.alias("__total"))
+        both = F.array(F.struct(F.lit(True).alias("o0"), F.col("__total").alias(TAG)), F.struct(F.lit(False).alias("o0"), algebra.negate(F.col("__total")).alias(TAG)))
+        return whole.select(*by, F.explode(both).alias("__o")).select(*by, "__o.*")
+    if op == "count":
+        # tags of 0, 1, ... rows: each row moves every number up by one, or leaves it
+        def step(known: Column, t: Column) -> Column:
+            stays = F.concat(F.transform(known, lambda w: algebra.times(w, algebra.negate(t))), F.array(algebra.zero()))
+            grows = F.concat(F.array(algebra.zero()), F.transform(known, lambda w: algebra.times(w, t)))
+            return F.zip_with(stays, grows, algebra.plus)
+
+        numbers = rows.groupBy(*by).agg(F.aggregate(F.collect_list(tag), F.array(algebra.one()), step).alias("__n"))
+        return numbers.select(*by, F.posexplode("__n").alias("o0", TAG)).withColumn("o0", F.col("o0").cast("bigint"))
+    # an extreme holds where its row does and no better value does
+    inverse = algebra.negate(tag)
+    none = F.product(inverse) if type(algebra).times is MaxMultProb.times else F.min(inverse)
+    values = rows.groupBy(*by, *spec.values).agg(none.alias("__none"))
+    window = Window.partitionBy(*by).orderBy(*_order(spec.values, "max" in op)).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.product("__none") if type(algebra).times is MaxMultProb.times else F.min("__none")
+    values = values.withColumn("__before", F.coalesce(before.over(window), algebra.one())).drop("__none")
+    names = spec.args if op.startswith("arg") else [*spec.args, *spec.values]
+    found = rows.join(values, [*by, *spec.values]).select(*by, *[F.col(n).alias(f"o{k}") for k, n in enumerate(names)], algebra.times(F.col("__before"), tag).alias(TAG))
+    return found.groupBy(*by, *[f"o{k}" for k in range(len(names))]).agg(algebra.sum(tag).alias(TAG))
+
+
+def _worlds(rows: DataFrame, spec: Spec, algebra: Algebra) -> DataFrame:
     """The results in all worlds, per group, in Python."""
     kinds = output_types(spec)
     plus, times, negate, one, zero = algebra.py_plus, algebra.py_times, algebra.py_negate, algebra.py_one, algebra.py_zero
     op, params = spec.op, spec.params
-    fold = _folds(op, params, kinds)
+    start, step, end = _folds(op, params, kinds)
     columns = [*spec.args, *spec.values]
     n_args = len(spec.args)
 
@@ -227,17 +259,16 @@ def _worlds(rows: DataFrame, spec: Spec, algebra: Algebra, has_empty: bool) -> D
         facts = sorted(facts, key=lambda f: f[0])
         out: dict[tuple, Any] = {}
 
-        def add(key: tuple, tag: Any) -> None:
+        def add(into: dict, key: Any, tag: Any) -> None:
             if tag is not None:
-                out[key] = plus(out[key], tag) if key in out else tag
+                into[key] = plus(into[key], tag) if key in into else tag
 
         if op == "exists":
             total = zero()
             for _, t in facts:
                 total = plus(total, t)
-            add((True,), total)
-            if facts:
-                add((False,), negate(total))
+            add(out, (True,), total)
+            add(out, (False,), negate(total) if facts else one())
             return out
         if op in ("min", "max", "argmin", "argmax"):
             order = sorted({f[0][n_args:] for f in facts}, reverse="max" in op)
@@ -246,45 +277,32 @@ def _worlds(rows: DataFrame, spec: Spec, algebra: Algebra, has_empty: bool) -> D
                 tied = [f for f in facts if f[0][n_args:] == value]
                 for key, t in tied:
                     if before is not None:
-                        add(key[:n_args] if op.startswith("arg") else key, times(before, t))
+                        add(out, key[:n_args] if op.startswith("arg") else key, times(before, t))
                 for _, t in tied:
                     inverse = negate(t)
                     before = None if inverse is None or before is None else times(before, inverse)
             return out
-        if op == "count":
-            found: dict[int, Any] = {0: one()}
-            for _, t in facts:
-                inverse, grown = negate(t), {}
-                for n, w in found.items():
-                    for m, factor in ((n + 1, t), (n, inverse)):
-                        if factor is not None:
-                            made = times(w, factor)
-                            grown[m] = plus(grown[m], made) if m in grown else made
-                found = grown
-            for n, w in found.items():
-                add((n,), w)
-            return out
         if op == "string_join" and params.get("all"):
             by_arg: dict[tuple, list] = {}
             for key, t in facts:
                 by_arg.setdefault(key[:n_args], []).append((key, t))
             for chosen in itertools.product(*[by_arg[a] for a in sorted(by_arg)]):
-                tag = one()
-                for _, t in chosen:
-                    tag = times(tag, t)
-                add((fold([c[0] for c in chosen], [t for _, t in chosen]),), tag)
+                tag, value = one(), start
+                for key, t in chosen:
+                    tag, value = times(tag, t), step(value, key[-1])
+                add(out, (end(value),), tag)
             return out
-        if len(facts) > MOST and negate(facts[0][1]) is not None:
-            raise ValueError(f"{op} over a group of {len(facts)} tagged rows; at most {MOST} can be enumerated")
-        choices = [((True, t), (False, negate(t))) if negate(t) is not None else ((True, t),) for _, t in facts]
-        for world in itertools.product(*choices):
-            tag = one()
-            for _, t in world:
-                tag = times(tag, t)
-            chosen = [f for f, (kept, _) in zip(facts, world, strict=True) if kept]
-            value = fold([c[0] for c in chosen], [t for _, t in chosen])
-            if value is not None:
-                add((value,), tag)
+        found: dict[Any, Any] = {start: one()}
+        for key, t in facts:
+            inverse, grown = negate(t), {}
+            for value, w in found.items():
+                add(grown, step(value, key[-1]), times(w, t))
+                if inverse is not None:
+                    add(grown, value, times(w, inverse))
+            found = grown
+        for value, w in found.items():
+            if end(value) is not None:
+                add(out, (end(value),), w)
         return out
 
     fields = [T.StructField(f"o{k}", SPARK[t]) for k, t in enumerate(kinds)]
@@ -300,20 +318,16 @@ def _worlds(rows: DataFrame, spec: Spec, algebra: Algebra, has_empty: bool) -> D
     return made.select(*spec.groups, "__o.*")
 
 
-def _folds(op: str, params: dict[str, Any], kinds: list[str]) -> Callable[[list, list], Any]:
-    """The aggregate of a chosen list of (args, values) keys."""
+def _folds(op: str, params: dict[str, Any], kinds: list[str]) -> tuple[Any, Callable, Callable]:
+    """An aggregate as a partial result to start from, its step by a value, and the result of a partial result."""
     whole = kinds[0] in INTEGERS
-
-    def run(keys: list[tuple], tags: list) -> Any:
-        values = [k[-1] for k in keys]
-        if op == "sum":
-            return sum(values) if values else (0 if whole else 0.0)
-        if op == "prod":
-            return math.prod(values) if values else (1 if whole else 1.0)
-        if op in ("avg", "weighted_avg"):
-            return None if not values else int(sum(values) / len(values)) if whole else sum(values) / len(values)
-        if op == "weighted_sum":
-            return sum(values)
-        return str(params.get("sep", "")).join(map(str, values))
-
-    return run
+    if op == "count":
+        return 0, lambda n, _: n + 1, lambda n: n
+    if op in ("sum", "weighted_sum"):
+        return 0 if whole else 0.0, lambda s, v: s + v, lambda s: s
+    if op == "prod":
+        return 1 if whole else 1.0, lambda s, v: s * v, lambda s: s
+    if op in ("avg", "weighted_avg"):
+        return (0, 0), lambda s, v: (s[0] + 1, s[1] + v), lambda s: None if not s[0] else int(s[1] / s[0]) if whole else s[1] / s[0]
+    separator = str(params.get("sep", ""))
+    return None, lambda s, v: str(v) if s is None else s + separator + str(v), lambda s: "" if s is None else s

@@ -2,10 +2,12 @@
 
 Each round evaluates every recursive rule once per recursive atom, with that atom on the rows that were new in the last
 round, atoms before it on older rows and atoms after it on all, so every derivation is found once. Rounds are written to
-the shared folder, which cuts the lineage and survives lost executors. Without tags a relation grows by parts and
-is never rewritten; with tags, rows whose tag changes beyond saturation go around again, as far as the algebra allows.
+the shared folder, which cuts the lineage and survives lost executors. A relation grows by parts: each round writes only the
+rows that are new or whose tag changed, with the number of the round, and a row's tag is that of its last round. Parts with
+tags are put together every ``PARTS`` rounds. Rows whose tag changes beyond saturation go around again, as far as the
+algebra allows.
 
-Schedulers decide which of the new rows go on: all (lfp), the latest first (dfs), the heaviest first (a-star), or the n
+Schedulers decide which of the new rows go on: all (lfp), those of the latest round (dfs), all of the greatest weight (a-star), or the n
 heaviest (beam); the others wait. At a fixpoint all schedulers have the same rows.
 """
 
@@ -24,6 +26,9 @@ from ..storage import Stored, written
 from ..types import SPARK
 from .tags import TAG
 
+PARTS = 8
+ROUND, GOES = "__round", "__goes"
+
 
 @dataclass
 class Options:
@@ -34,6 +39,8 @@ class Options:
     beam: int = 3
     stop_at_goal: bool = False
     goals: set[str] = field(default_factory=set)
+    #: Told of each round, if there is a monitor.
+    tell: Callable[[str, dict], None] | None = None
 
 
 @dataclass
@@ -105,6 +112,8 @@ def fixpoint(
             if fresh is None and g.pending is None:
                 continue
             _advance(evaluator, g, fresh, columns[n], round_, options)
+        if options.tell:
+            options.tell("round", {"stratum": tuple(names), "round": round_, "rows": {n: g.delta.count() if g.delta is not None else 0 for n, g in grown.items()}})
         done = all(g.delta is None for g in grown.values())
         goal = options.stop_at_goal and options.goals and options.goals <= set(names) and all(grown[x].now is not None for x in options.goals)
         if done or goal or options.limit is not None and round_ >= options.limit or not any(p for _, p in recursive):
@@ -129,23 +138,34 @@ def _advance(evaluator: Evaluator, g: Growing, fresh: DataFrame | None, columns:
             return
         g.delta, g.now = part, g.stored.all()
         return
+    kept = F.lit(True)
     if g.now is None:
-        g.now = written(fresh, "stratum")
-        g.delta = None if g.now.isEmpty() else g.now
-        g.now = g.now if g.delta is not None else None
+        part = fresh.select(*columns, TAG, F.lit(True).alias(GOES))
+    else:
+        old = g.now.withColumnRenamed(TAG, "__old")
+        merged = F.when(F.col("__old").isNull(), F.col(TAG)).otherwise(algebra.plus(F.col("__old"), F.col(TAG)))
+        both = fresh.join(old, columns, "left").withColumn("__merged", merged)
+        changed = F.col("__old").isNull() | ~algebra.saturated(F.col("__old"), F.col("__merged"))
+        goes = changed if algebra.again else F.col("__old").isNull()
+        part, kept = both.select(*columns, F.col("__merged").alias(TAG), goes.alias(GOES), changed.alias("__changed")), F.col("__changed")
+    part = g.stored.add(part.where(kept).select(*columns, TAG, GOES, F.lit(round_).alias(ROUND)))
+    if part.isEmpty():
+        g.stored.paths.pop()
         return
-    old = g.now.withColumnRenamed(TAG, "__old")
-    merged = F.when(F.col("__old").isNull(), F.col(TAG)).otherwise(algebra.plus(F.col("__old"), F.col(TAG)))
-    both = fresh.join(old, columns, "left").withColumn("__merged", merged)
-    goes = F.col("__old").isNull()
-    if algebra.again:
-        goes = goes | ~algebra.saturated(F.col("__old"), F.col("__merged"))
-    both = written(both.select(*columns, F.col("__merged").alias(TAG), goes.alias("__goes")), "stratum")
-    delta = both.where("__goes").drop("__goes")
-    changed = both.drop("__goes") if not algebra.again else delta
-    if not changed.isEmpty():
-        g.now = written(g.now.join(changed, columns, "left_anti").unionByName(changed), "stratum")
-    g.delta = None if delta.isEmpty() else delta
+    g.now = _latest(g.stored, columns)
+    if len(g.stored.paths) > PARTS:
+        whole = Stored(evaluator.spark, g.stored.name)
+        whole.add(g.now.select(*columns, TAG, F.lit(False).alias(GOES), F.lit(round_).alias(ROUND)))
+        g.stored, g.now = whole, _latest(whole, columns)
+    delta = part.where(GOES).select(*columns, TAG)
+    g.delta = delta if algebra.again or not delta.isEmpty() else None
+
+
+def _latest(stored: Stored, columns: list[str]) -> DataFrame:
+    """Each row with the tag of its last round."""
+    if len(stored.paths) == 1:
+        return stored.all().select(*columns, TAG)
+    return stored.all().groupBy(*columns).agg(F.max_by(TAG, ROUND).alias(TAG))
 
 
 def _scheduled(evaluator: Evaluator, g: Growing, fresh: DataFrame | None, columns: list[str], round_: int, options: Options) -> DataFrame | None:
@@ -165,9 +185,13 @@ def _scheduled(evaluator: Evaluator, g: Growing, fresh: DataFrame | None, column
     keys = [F.max("__seq").alias("__seq")] + ([algebra.sum(F.col(TAG)).alias(TAG)] if algebra.type else [])
     waiting = written(waiting.groupBy(*columns).agg(*keys), "waiting")
     weight = algebra.weight(F.col(TAG)) if algebra.type else F.lit(1.0)
-    n = options.beam if options.scheduler == "beam" else 1
-    order = [F.desc("__seq")] if options.scheduler == "dfs" else [weight.desc()]
-    chosen = written(waiting.orderBy(*order, *columns).limit(n), "chosen")
+    if options.scheduler == "beam":
+        chosen = waiting.orderBy(weight.desc(), *columns).limit(options.beam)
+    else:
+        key = F.col("__seq") if options.scheduler == "dfs" else weight
+        most = waiting.agg(F.max(key)).first()[0]  # one number
+        chosen = waiting.where(key == F.lit(most))
+    chosen = written(chosen, "chosen")
     if chosen.isEmpty():
         g.pending = None
         return None

@@ -1,9 +1,10 @@
 """Tag algebras: how the tags of tuples combine.
 
 An algebra gives the Spark type of its tags and, as Column functions, what joins (``times``), merges (``plus``), negation
-and the fixpoint test do. Algebras over numbers stay in the JVM. Proof and dual-number algebras have the
-same operations on Python values, which run as Arrow UDFs. The Python operations (``py_*``) also serve
-aggregates that enumerate worlds.
+and the fixpoint test do. Algebras over numbers and dual numbers (a number with a map of derivatives) stay in the JVM. Proof
+algebras have the same operations on Python values, which run as UDFs; where they keep the k best proofs, groups are
+merged in two steps, so that no step sees more than a part of a group or a few times k proofs. The Python
+operations (``py_*``) also serve aggregates over all worlds.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ class Algebra:
     tagged = False
     again = True
     k: int | None = None
+    #: Whether tags hold the facts they come from, so that exclusive alternatives can be told apart.
+    proofs = False
+    #: Whether every match of a negation has a tag of its own, in Columns over plain numbers.
+    plain = False
+    #: How many parts of a group are merged first.
+    parts = 1
 
     def one(self) -> Column:
         return F.lit(self.py_one()).cast(self.type)
@@ -58,6 +65,9 @@ class Algebra:
     def saturated(self, old: Column, new: Column) -> Column:
         return old == new
 
+    def zero(self) -> Column:
+        return F.lit(self.py_zero()).cast(self.type)
+
     def discard(self, a: Column) -> Column | None:
         """Whether a tuple need not be kept."""
         return None
@@ -90,7 +100,9 @@ class Algebra:
 
 
 class Boolean(Algebra):
-    name, type, tagged = "boolean", "boolean", True
+    """Whether a tuple holds."""
+
+    name, type, tagged, plain = "boolean", "boolean", True, True
 
     def times(self, a: Column, b: Column) -> Column:
         return a & b
@@ -196,7 +208,7 @@ class RealTropical(Tropical):
 
 
 class MinMaxProb(Algebra):
-    name, type, tagged = "minmaxprob", "double", True
+    name, type, tagged, plain = "minmaxprob", "double", True, True
 
     def times(self, a: Column, b: Column) -> Column:
         return F.least(a, b)
@@ -339,9 +351,11 @@ class Proofs(UdfAlgebra):
     """
 
     type = "array<array<struct<fact:bigint,p:double,x:bigint,neg:boolean>>>"
+    proofs = True
 
     def __init__(self, k: int | None = None, name: str = "proofs") -> None:
         self.k, self.name = k, name
+        self.parts = 1 if k is None else 64
 
     def py_one(self) -> list:
         return [[]]
@@ -408,17 +422,16 @@ class DiffProofs(Proofs):
     """Probabilities with their derivatives by the probability of each fact."""
 
     def recover(self, a: Column) -> Column:
-        def both(tag: list) -> tuple:
-            clauses = self._set(tag)
-            facts = {x[0]: x for c in clauses for x in c}
-            return wmc(clauses), {f: wmc(_given_fact(clauses, f, True)) - wmc(_given_fact(clauses, f, False)) for f in facts}
-
-        return F.udf(both, "struct<p:double,gradient:map<bigint,double>>")(a)
+        return F.udf(lambda tag: differentiated(self._set(tag)), "struct<p:double,gradient:map<bigint,double>>")(a)
 
 
 class SampledProofs(Proofs):
     """Keeps ``k`` proofs, drawn by their probability with a seeded generator."""
 
+    def __init__(self, k: int | None = None, name: str = "proofs") -> None:
+        super().__init__(k, name)
+        self.parts = 1  # a draw is from a whole group
+
     def _best(self, clauses: set) -> list:
         import random
 
@@ -430,6 +443,12 @@ class SampledProofs(Proofs):
         return [list(c) for c in ordered]
 
 
+def differentiated(clauses: set) -> tuple[float, dict[int, float]]:
+    """The probability of a disjunction and its derivatives by the probabilities of the facts."""
+    facts = {x[0] for c in clauses for x in c}
+    return wmc(clauses), {f: wmc(_given_fact(clauses, f, True)) - wmc(_given_fact(clauses, f, False)) for f in facts}
+
+
 def _given_fact(clauses: set, fact: int, holds: bool) -> set:
     """The clauses after a fact is known to hold or not."""
     out = set()
@@ -477,14 +496,129 @@ def wmc(clauses: set) -> float:
     return solve(frozenset(clauses))
 
 
-class DualNumbers(UdfAlgebra):
-    """Probabilities with derivatives, combined by a scalar algebra's rules."""
+class TopBottomClauses(UdfAlgebra):
+    """The k most probable proofs of a formula or, for negated formulas, of its negation.
+
+    A negated formula is a conjunction of clauses, each the negation of a proof; keeping the k most probable proofs of the
+    negation keeps the k least probable clauses. So negating loses nothing, and conjunctions of negated formulas are
+    unions. Mixed operations turn the negated side into proofs first.
+    """
+
+    type = f"struct<negated:boolean,proofs:{Proofs.type}>"
+    proofs = True
+
+    def __init__(self, k: int | None, name: str = "topbottomkclauses") -> None:
+        self.k, self.name, self.inner = k, name, Proofs(k)
+        self.parts = 1 if k is None else 64
+
+    def py_one(self) -> tuple:
+        return False, self.inner.py_one()
+
+    def py_zero(self) -> tuple:
+        return False, self.inner.py_zero()
+
+    def py_given(self, prob: float | None, fact: int, group: int | None) -> tuple:
+        return False, self.inner.py_given(prob, fact, group)
+
+    def _positive(self, a: Any) -> list:
+        return self.inner.py_negate(a[1]) if a[0] else a[1]
+
+    def py_plus(self, a: Any, b: Any) -> tuple:
+        if a[0] and b[0]:  # not (x and y)
+            return True, self.inner.py_times(a[1], b[1])
+        return False, self.inner.py_plus(self._positive(a), self._positive(b))
+
+    def py_times(self, a: Any, b: Any) -> tuple:
+        if a[0] and b[0]:  # not (x or y)
+            return True, self.inner.py_plus(a[1], b[1])
+        return False, self.inner.py_times(self._positive(a), self._positive(b))
+
+    def py_negate(self, a: Any) -> tuple:
+        return not a[0], a[1]
+
+    def saturated(self, old: Column, new: Column) -> Column:
+        same = lambda a, b: a is not None and b is not None and a[0] == b[0] and Proofs._set(a[1]) == Proofs._set(b[1])
+        return F.udf(same, "boolean")(old, new)
+
+    def py_weight(self, a: Any) -> float:
+        p = self.inner.py_weight(a[1])
+        return 1 - p if a[0] else p
+
+    def recover(self, a: Column) -> Column:
+        return F.udf(self.py_weight, "double")(a)
+
+
+class DiffTopBottomClauses(TopBottomClauses):
+    """The same, shown with derivatives."""
+
+    def recover(self, a: Column) -> Column:
+        def both(tag: Any) -> tuple:
+            p, gradient = differentiated(Proofs._set(tag[1]))
+            return (1 - p, {f: -d for f, d in gradient.items()}) if tag[0] else (p, gradient)
+
+        return F.udf(both, "struct<p:double,gradient:map<bigint,double>>")(a)
+
 
-    type, again = "struct<p:double,gradient:map<bigint,double>>", False
+class DualNumbers(Algebra):
+    """Probabilities with derivatives, combined by a scalar algebra's rules; all in the JVM."""
+
+    type, tagged = "struct<p:double,gradient:map<bigint,double>>", True
 
     def __init__(self, scalar: Algebra) -> None:
-        self.scalar, self.name = scalar, "diff" + scalar.name
-        self.again = scalar.again
+        self.scalar, self.name, self.again = scalar, "diff" + scalar.name, scalar.again
+
+    @staticmethod
+    def _dual(p: Column, gradient: Column) -> Column:
+        return F.struct(p.alias("p"), gradient.alias("gradient"))
+
+    @staticmethod
+    def _none() -> Column:
+        return F.create_map().cast("map<bigint,double>")
+
+    def one(self) -> Column:
+        return self._dual(F.lit(1.0), self._none())
+
+    def zero(self) -> Column:
+        return self._dual(F.lit(0.0), self._none())
+
+    def given(self, prob: Column, fact: Column, group: Column) -> Column:
+        known = self._dual(prob.cast("double"), F.create_map(fact.cast("bigint"), F.lit(1.0)))
+        return F.when(prob.isNull(), self.one()).otherwise(known)
+
+    @staticmethod
+    def _mixed(a: Column, b: Column, da: Column, db: Column) -> Column:
+        """The gradient of a function of a and b with these derivatives."""
+        zero = F.lit(0.0)
+        return F.map_zip_with(a["gradient"], b["gradient"], lambda _, x, y: da * F.coalesce(x, zero) + db * F.coalesce(y, zero))
+
+    def plus(self, a: Column, b: Column) -> Column:
+        kind, one = type(self.scalar), F.lit(1.0)
+        if kind is AddMultProb:
+            return self._dual(F.least(one, a["p"] + b["p"]), self._mixed(a, b, one, one))
+        if kind in (NandMultProb, NandMinProb):
+            return self._dual(1 - (1 - a["p"]) * (1 - b["p"]), self._mixed(a, b, 1 - b["p"], 1 - a["p"]))
+        return F.when(a["p"] >= b["p"], a).otherwise(b)
+
+    def times(self, a: Column, b: Column) -> Column:
+        if type(self.scalar) in (MinMaxProb, NandMinProb):
+            return F.when(a["p"] <= b["p"], a).otherwise(b)
+        return self._dual(a["p"] * b["p"], self._mixed(a, b, b["p"], a["p"]))
+
+    def sum(self, tags: Column) -> Column:
+        if type(self.scalar) in (MinMaxProb, MaxMultProb):
+            return F.max_by(tags, tags["p"])
+        return F.aggregate(F.collect_list(tags), self.zero(), self.plus)
+
+    def negate(self, a: Column) -> Column:
+        return self._dual(1 - a["p"], F.transform_values(a["gradient"], lambda _, v: -v))
+
+    def saturated(self, old: Column, new: Column) -> Column:
+        return F.abs(old["p"] - new["p"]) < 1e-12
+
+    def weight(self, a: Column) -> Column:
+        return a["p"]
+
+    # the same on Python values, for aggregates over all worlds
 
     def py_one(self) -> tuple:
         return 1.0, {}
@@ -492,11 +626,8 @@ class DualNumbers(UdfAlgebra):
     def py_zero(self) -> tuple:
         return 0.0, {}
 
-    def py_given(self, prob: float | None, fact: int, group: int | None) -> tuple:
-        return (1.0, {}) if prob is None else (prob, {fact: 1.0})
-
     @staticmethod
-    def _mixed(a: Any, b: Any, da: float, db: float) -> dict:
+    def _py_mixed(a: Any, b: Any, da: float, db: float) -> dict:
         out = {k: da * v for k, v in (a[1] or {}).items()}
         for k, v in (b[1] or {}).items():
             out[k] = out.get(k, 0.0) + db * v
@@ -505,25 +636,19 @@ class DualNumbers(UdfAlgebra):
     def py_plus(self, a: Any, b: Any) -> tuple:
         kind = type(self.scalar)
         if kind is AddMultProb:
-            return min(1.0, a[0] + b[0]), self._mixed(a, b, 1.0, 1.0)
+            return min(1.0, a[0] + b[0]), self._py_mixed(a, b, 1.0, 1.0)
         if kind in (NandMultProb, NandMinProb):
-            return 1 - (1 - a[0]) * (1 - b[0]), self._mixed(a, b, 1 - b[0], 1 - a[0])
+            return 1 - (1 - a[0]) * (1 - b[0]), self._py_mixed(a, b, 1 - b[0], 1 - a[0])
         return (a[0], a[1]) if a[0] >= b[0] else (b[0], b[1])
 
     def py_times(self, a: Any, b: Any) -> tuple:
         if type(self.scalar) in (MinMaxProb, NandMinProb):
             return (a[0], a[1]) if a[0] <= b[0] else (b[0], b[1])
-        return a[0] * b[0], self._mixed(a, b, b[0], a[0])
+        return a[0] * b[0], self._py_mixed(a, b, b[0], a[0])
 
     def py_negate(self, a: Any) -> tuple:
         return 1 - a[0], {k: -v for k, v in (a[1] or {}).items()}
 
-    def saturated(self, old: Column, new: Column) -> Column:
-        return F.abs(old["p"] - new["p"]) < 1e-12
-
-    def weight(self, a: Column) -> Column:
-        return a["p"]
-
     def py_weight(self, a: Any) -> float:
         return a[0]
 
@@ -578,11 +703,11 @@ def algebra(name: str | Algebra, k: int = 3) -> Algebra:
         "probproofs": lambda: Proofs(None, "probproofs"),
         "realtropicalproofs": lambda: Proofs(1, "realtropicalproofs"),
         "topkproofs": lambda: Proofs(k, "topkproofs"),
-        "topbottomkclauses": lambda: Proofs(k, "topbottomkclauses"),
+        "topbottomkclauses": lambda: TopBottomClauses(k),
         "samplekproofs": lambda: SampledProofs(k, "samplekproofs"),
         "difftopkproofs": lambda: DiffProofs(k, "difftopkproofs"),
         "difftopkproofsdebug": lambda: DiffProofs(k, "difftopkproofsdebug"),
-        "difftopbottomkclauses": lambda: DiffProofs(k, "difftopbottomkclauses"),
+        "difftopbottomkclauses": lambda: DiffTopBottomClauses(k, "difftopbottomkclauses"),
         "diffsamplekproofs": lambda: DiffProofs(k, "diffsamplekproofs"),
         "diffminmaxprob": lambda: DualNumbers(MinMaxProb()),
         "diffaddmultprob": lambda: DualNumbers(AddMultProb()),

@@ -333,6 +333,9 @@ class Evaluator:
         """Set semantics: equal rows become one, their tags are added."""
         if not self.algebra.type:
             return df.select(*columns).distinct()
+        if self.algebra.parts > 1:  # the best of parts of each group, then the best of these
+            part = F.pmod(F.hash(F.to_json(F.struct(TAG))), F.lit(self.algebra.parts)).alias("__part")
+            df = df.groupBy(*columns, part).agg(self.algebra.sum(F.col(TAG)).alias(TAG))
         return df.groupBy(*columns).agg(self.algebra.sum(F.col(TAG)).alias(TAG))
 
     def without(self, a: Table, b: Table) -> Table:
@@ -468,6 +471,8 @@ class Evaluator:
 
     known: set[str] = set()
     first: set[int] = set()
+    #: Whether rows whose tag says so are dropped as soon as they are derived.
+    discards = True
 
     def _rows(self, x: Any, k: int, rel: Callable, outer: set[str], literals: tuple) -> Table:
         if isinstance(x, Atom):
@@ -597,7 +602,7 @@ class Evaluator:
         df = table.df.select(*columns)
         for k in range(len(kinds)):
             df = df.where(F.col(f"c{k}").isNotNull())
-        if self.algebra.type and self.algebra.discard(F.col(TAG)) is not None:
+        if self.discards and self.algebra.type and self.algebra.discard(F.col(TAG)) is not None:
             df = df.where(~self.algebra.discard(F.col(TAG)))
         return df
 
@@ -612,7 +617,7 @@ class Evaluator:
                 raise ProgramError(f"A value of type `{kind}` cannot be casted into a dynamic tag")
             fact = F.xxhash64(F.lit(str(rule.head)), *names)
             tag = self.algebra.times(tag, self.algebra.given(value, fact, F.lit(None).cast("bigint")))
-        if rule.choice is not None and str(self.algebra.type).startswith("array<array"):
+        if rule.choice is not None and self.algebra.proofs:
             n, k = rule.choice
             group = F.xxhash64(F.lit(str(rule.body)), *names)
             tag = self.algebra.times(tag, self.algebra.given(F.lit(1.0 / n), F.xxhash64(group, F.lit(k)), group))

@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import copy
+import time
 from collections.abc import Callable, Iterable, Sequence
 from pathlib import Path
 from typing import Any
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.scalar import TypeProblem
-from .functions.table import Predicate
+from .functions.table import Predicate, soft_comparisons
+from .functions.terms import term_function, term_predicates
 from .operators.fixpoint import Options, empty, fixpoint
 from .operators.tags import TAG, Algebra, algebra
 from .plans import normal
@@ -35,8 +37,8 @@ from .types import SPARK, of_spark
 class Program:
     """A program that can be extended and run again; what didn't change isn't computed again."""
 
-    def __init__(self, spark: SparkSession, provenance: str | Algebra = "unit", k: int = 3, seed: int = 1234) -> None:
-        self.spark, self.algebra, self.seed = spark, algebra(provenance, k), seed
+    def __init__(self, spark: SparkSession, provenance: str | Algebra = "unit", k: int = 3, seed: int = 1234, early_discard: bool = True) -> None:
+        self.spark, self.algebra, self.seed, self.early_discard = spark, algebra(provenance, k), seed, early_discard
         ship(spark)
         self.source = normal.Program()
         self.tables: dict[str, list[DataFrame]] = {}
@@ -48,6 +50,7 @@ class Program:
         self.memo: dict[str, tuple[Any, DataFrame]] = {}
         self.results: dict[str, DataFrame] = {}
         self.rounds: dict[str, int] = {}
+        self.monitors: list[Callable[[str, dict], None]] = []
         self._imports: list[str] = []
         self._facts = 0
 
@@ -77,8 +80,33 @@ class Program:
     def add_relation(self, name: str, kinds: Sequence[str]) -> Program:
         return self.add(f"type {name}({', '.join(kinds)})")
 
-    def add_rule(self, text: str) -> Program:
-        return self.add(f"rel {text}")
+    def add_rule(self, text: str, tag: float | None = None) -> Program:
+        """A rule; with ``tag``, of this probability."""
+        if tag is None:
+            return self.add(f"rel {text}")
+        before = {h: len(n) for h, n in self.source.rule_tags.items()}
+        self.add(f"@tagged\nrel {text}")
+        head = next(h for h, n in self.source.rule_tags.items() if len(n) > before.get(h, 0))
+        return self.tag_rule(head, tag, len(self.source.rule_tags[head]) - 1)
+
+    def tag_rule(self, head: str, tag: float, number: int = 0) -> Program:
+        """Give a rule that is marked ``@tagged`` its probability, the ``number``-th such rule of its head. Without one it derives nothing."""
+        name = self.source.rule_tags[head][number]
+        self.source.facts[name] = [((), float(tag), None)]
+        self.versions[name] = self.versions.get(name, 0) + 1
+        self.results = {}
+        return self
+
+    def soft_comparison(self, shape: str = "logistic", beta: float = 1.0) -> Program:
+        """The sigmoid of soft_gt, soft_lt, soft_eq and soft_neq (a key of SIGMOIDS) and the steepness of it."""
+        self.predicates |= soft_comparisons(shape, beta)
+        self.memo, self.results = {}, {}
+        return self
+
+    def monitor(self, listener: Callable[[str, dict], None]) -> Program:
+        """A function that is told ("round", {stratum, round, rows by relation}) after each round and ("relation", {name, seconds}) after each stratum."""
+        self.monitors.append(listener)
+        return self
 
     def add_facts(self, name: str, rows: Iterable[Sequence] | DataFrame, tags: Sequence[float] | None = None) -> Program:
         """Facts from Python rows or a DataFrame; relations that depend on them are computed again."""
@@ -115,7 +143,7 @@ class Program:
         return self.add_table(name, df, PROB if PROB in df.columns else None)
 
     def function(self, name: str, kinds: Sequence[str], result: str, python: Callable | None = None, columns: Callable[..., Column] | None = None) -> Program:
-        """A scalar function: of Columns, or a Python function on Arrow batches. None drops the row."""
+        """A scalar function: of Columns, or a Python function of values, row by row (an Arrow or pandas UDF can be given as ``columns``). None drops the row."""
         made = columns or F.udf(python, SPARK[result])
 
         def call(*args: tuple) -> tuple:
@@ -157,7 +185,11 @@ class Program:
     def run(self, limit: int | None = None, scheduler: str = "lfp", beam: int = 3, stop_at_goal: bool = False, only: Iterable[str] | None = None) -> Program:
         """Compute all relations, or those that ``only`` needs."""
         options = Options(limit, scheduler.replace("_", "-").replace("a-star", "astar").replace("astar", "a-star"), beam, stop_at_goal, set(self.source.goals))
-        evaluator = Evaluator(self.spark, self.algebra, self.functions, self.predicates, self.aggregates, self.source.broadcasts, self.source.type)
+        variants = {c: tuple(self.source.columns[c][1:]) for c in self.source.variants}
+        functions = self.functions | {"parse_entity": term_function(variants)}
+        evaluator = Evaluator(self.spark, self.algebra, functions, self.predicates | term_predicates(variants), self.aggregates, self.source.broadcasts, self.source.type)
+        evaluator.discards = self.early_discard
+        options.tell = self._tell if self.monitors else None
         rules = self.source.with_demand()
         kinds = self._types(evaluator, rules)
         self.kinds, self.results = kinds, {}
@@ -192,6 +224,7 @@ class Program:
             base = {n: b for n in group if (b := self._base(n, kinds[n])) is not None}
             inside = any(n in group for r in own for n, _ in predicates(r.body))
             hints = lambda r: evaluator.body_types(r.body, lambda n: kinds.get(n), set())
+            begin = time.time()
             try:
                 if inside:
                     named = [self.source.schedulers[n] for n in group if n in self.source.schedulers]
@@ -211,12 +244,17 @@ class Program:
                     df = written(df, "relation")
                 done[n] = df
                 self.memo[n] = key, df
+                self._tell("relation", {"name": n, "seconds": time.time() - begin})
             if stop_at_goal and options.goals and options.goals <= set(done) and all(not done[g].isEmpty() for g in options.goals):
                 break
         self.results = done
         self._write_outputs()
         return self
 
+    def _tell(self, event: str, data: dict) -> None:
+        for listener in self.monitors:
+            listener(event, data)
+
     def _once(self, evaluator: Evaluator, name: str, rules: list[FlatRule], base: DataFrame | None, kinds: dict, outside: Callable, hints: Callable) -> DataFrame:
         parts = [] if base is None else [base]
         for r in rules:
@@ -289,7 +327,7 @@ class Program:
         a = self.algebra
         if not a.type:
             return []
-        untagged = a.one() if not a.type.startswith("array<array") or a.name != "proofs" else a.given(prob, fact, group)
+        untagged = a.one() if a.name != "proofs" else a.given(prob, fact, group)
         return [F.when(prob.isNull(), untagged).otherwise(a.given(prob, fact, group)).alias(TAG)]
 
     # results
@@ -309,6 +347,12 @@ class Program:
             out.append(self.algebra.recover(F.col(TAG)).alias("tag"))
         return df.select(*(out or [F.lit(True).alias("holds")]))
 
+    def tags(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+        """A relation's rows with their tags as they are kept: proofs, dual numbers and so on."""
+        self.relation(name)
+        names = columns or [f"c{k}" for k in range(len(self.kinds[name]))]
+        return self.results[name].select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], *([F.col(TAG).alias("tag")] if self.algebra.type else []))
+
     def query(self, text: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
         """The rows of a query item (the last by default): those of its relation that fit its arguments."""
         found = self.source.queries[-1] if text is None else next((q for q in self.source.queries if q.text == text), None)

@@ -28,7 +28,11 @@ SPARK = {
     "Duration": T.StructType([T.StructField("months", T.IntegerType()), T.StructField("micros", T.LongType())]),
     "Entity": T.LongType(),
     "Tensor": T.ArrayType(T.DoubleType()),
+    "Tensor2": T.ArrayType(T.ArrayType(T.DoubleType())),
+    "Tensor3": T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))),
 }
+#: Tensors by their number of dimensions, nested arrays in Spark.
+TENSORS = {"Tensor": 1, "Tensor2": 2, "Tensor3": 3}
 _BITS = {"i8": 8, "i16": 16, "i32": 32, "i64": 64, "isize": 64, "i128": 128, "u8": 8, "u16": 16, "u32": 32, "u64": 64, "u128": 128, "usize": 64}
 INTEGERS = set(_BITS)
 UNSIGNED = {t for t in _BITS if t[0] == "u"}
@@ -65,8 +69,11 @@ def of_spark(kind: T.DataType) -> str:
         return names[type(kind)]
     if isinstance(kind, T.DecimalType) and kind.scale == 0:
         return "i128"
-    if isinstance(kind, T.ArrayType):
-        return "Tensor"
+    depth, inner = 0, kind
+    while isinstance(inner, T.ArrayType):
+        depth, inner = depth + 1, inner.elementType
+    if depth in TENSORS.values():
+        return next(t for t, n in TENSORS.items() if n == depth)
     if isinstance(kind, T.StructType) and kind.fieldNames() == ["months", "micros"]:
         return "Duration"
     raise ValueError(f"no type for columns of {kind.simpleString()}")

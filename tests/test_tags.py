@@ -78,6 +78,44 @@ def test_all_proofs_are_possible_worlds(spark):
     assert all(math.isclose(got[x], want[x], abs_tol=1e-9) for x in want)
 
 
+def test_negation_of_many_clauses_loses_nothing(spark):
+    """The negation of a formula of k proofs is exact, and so is what is not in either of two."""
+    text = "rel a = {0.1::1, 0.2::2, 0.3::3}\nrel b = {0.4::1, 0.5::2}\nrel some() = a(x)\nrel more() = b(x)\nrel go = {1}\nrel out() = go(_), not some(), not more()"
+    got = Program(spark, "topbottomkclauses", k=3).add(text).relation("out").collect()[0]["tag"]
+    assert math.isclose(got, 0.9 * 0.8 * 0.7 * 0.6 * 0.5, abs_tol=1e-6)
+    p = Program(spark, "difftopbottomkclauses", k=3).add(text).relation("out").collect()[0]["tag"]
+    assert math.isclose(p["p"], got, abs_tol=1e-6) and all(math.isclose(d, -got / (1 - q), abs_tol=1e-6) for d, q in zip(sorted(p["gradient"].values(), reverse=True), (0.1, 0.2, 0.3, 0.4, 0.5), strict=True))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 4), st.booleans()), min_size=1, max_size=3), min_size=1, max_size=3), st.lists(st.lists(st.tuples(st.integers(0, 4), st.booleans()), min_size=1, max_size=3), min_size=1, max_size=3))
+def test_top_bottom_operations(one, two):
+    """With a large k, all operations are exact."""
+    probs = [0.1, 0.2, 0.3, 0.4, 0.25]
+    a = tags.TopBottomClauses(50)
+    made = []
+    for clauses in (one, two):
+        proofs = {tuple(sorted({(f, probs[f], None, neg) for f, neg in c}, key=str)) for c in clauses}
+        made.append((False, [list(c) for c in proofs if len({x[0] for x in c}) == len(c)]))
+    x, y = made
+    both, either = a.py_weight(a.py_times(x, y)), a.py_weight(a.py_plus(x, y))
+    assert math.isclose(both + either, a.py_weight(x) + a.py_weight(y), abs_tol=1e-9)
+    assert math.isclose(a.py_weight(a.py_negate(x)), 1 - a.py_weight(x), abs_tol=1e-9)
+    assert math.isclose(a.py_weight(a.py_times(a.py_negate(x), a.py_negate(y))), 1 - either, abs_tol=1e-9)
+    assert math.isclose(a.py_weight(a.py_plus(a.py_negate(x), y)), 1 - a.py_weight(x) + both, abs_tol=1e-9)
+
+
+def test_dual_numbers_are_derivatives(spark):
+    """Gradients against differences, for each scalar algebra."""
+    text = "rel a = {{{p}::1, 0.3::2}}\nrel b = {{0.5::1, 0.6::2}}\nrel out() = a(x), b(x)\nrel rest() = a(1), not b(1)"
+    for name in ("diffminmaxprob", "diffmaxmultprob", "diffaddmultprob", "diffnandmultprob", "diffnandminprob"):
+        for relation in ("out", "rest"):
+            value = lambda p: Program(spark, name).add(text.format(p=p)).relation(relation).collect()[0]["tag"]  # noqa: B023, E731
+            low, mid, high = value(0.4), value(0.41), value(0.42)
+            slope = (high["p"] - low["p"]) / 0.02
+            assert math.isclose(slope, 0.0, abs_tol=1e-6) or any(math.isclose(slope, d, abs_tol=1e-5) for d in mid["gradient"].values())
+
+
 def test_gradients(spark):
     p = Program(spark, "difftopkproofs", k=9).add("rel a = {0.4::1}\nrel b = {0.5::1}\nrel r() = a(1), b(1)")
     tag = p.relation("r").collect()[0]["tag"]
