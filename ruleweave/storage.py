@@ -95,7 +95,7 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, how
     that part of ``right`` is broadcast and the rows stay where they are; all other keys meet by a shuffle. ``right`` should be
     a written table or cheap, as it is read twice. Parts are told apart by a hash of the key, on both sides alike.
     """
-    of = F.xxhash64(*keys)
+    of = F.hash(*keys)
     hot = [r[0] for r in right.where(F.col("rows") * HOT >= F.lit(total)).select(of).distinct().collect()]
     right = right.drop("rows")
     if not hot:
