@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
+import hashlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, hot_join, scratch_path, ship, written  # noqa: F401
+
 #: ASCII white space, and a word between it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,60 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one of our own only where that is unset."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = f"file://{tempfile.mkdtemp(prefix='ruleweave-')}"
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/ruleweave/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, its lineage cut, safe if executors go."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the shared folder; for small tables inside loops."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once per context, so that worker functions import there as here."""
-    context = spark.sparkContext
-    if getattr(context, "_ruleweave_shipped", None):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="ruleweave-code-")) / "ruleweave_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for file in sorted(package.rglob("*.py")):
-            z.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(target))
-    context._ruleweave_shipped = True
-
-
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
-def local_path(uri: str) -> str:
-    """The path of a ``file:`` URI. Other schemes raise: worker-side files need a mounted folder."""
+def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, as workers see it, and the path in it: local ones, and all that Arrow knows."""
     if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
+        return pa.fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if "://" in uri:
-        raise ValueError(f"{uri}: this operator needs a shared folder that executors can open as files")
-    return uri
+        return pa.fs.FileSystem.from_uri(uri)
+    return pa.fs.LocalFileSystem(), uri
 
 
 def text_of(column: str) -> Column:
@@ -150,27 +109,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 mix64 = _mix
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Two primes below 2^31, each with a base for the powers of the bytes' places.
+_FIELDS = ((2_147_483_647, 1_365_098_427), (2_147_483_629, 1_791_310_453))
+#: Longer spans would overflow the sums.
+_LONGEST = 1 << 24
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    size = 1
+    while size < n:
+        more = min(size, n - size)
+        out[size : size + more] = out[:more] * np.uint64(pow(base, size, prime)) % np.uint64(prime)
+        size += more
+    return out
 
 
 def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from prefix sums of a polynomial over random byte values."""
+    """64-bit hashes of byte spans: polynomials of the bytes in two prime fields and the length, from prefix sums.
+
+    Distinct spans of n bytes share a hash with a probability of about n^2 / 2^62; where results depend on it, bytes are compared.
+    """
     if not len(begin):
         return np.zeros(0, np.uint64)
     n = len(data) + 1
-    if 0 not in _POWERS or len(_POWERS[0][0]) < n:
-        _POWERS[0] = _powers(_BASE, n), _powers(_INVERSE, n)
-    power, inverse = _POWERS[0]
-    total = np.zeros(n, np.uint64)
-    np.cumsum(_BYTE[data] * power[: n - 1], out=total[1:])
-    return _mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    halves = []
+    wide = data.astype(np.uint64) + np.uint64(1)
+    for prime, base in _FIELDS:
+        if prime not in _POWERS or len(_POWERS[prime][0]) < n:
+            _POWERS[prime] = _powers(base, prime, n), _powers(pow(base, -1, prime), prime, n)
+        power, inverse = _POWERS[prime]
+        total = np.zeros(n, np.uint64)
+        np.cumsum(wide * power[: n - 1], out=total[1:])
+        halves.append((total[end] - total[begin]) % np.uint64(prime) * inverse[begin] % np.uint64(prime))
+    length = (end - begin).astype(np.uint64)
+    out = _mix((halves[0] | (halves[1] << np.uint64(32))) ^ (length * np.uint64(0x9E3779B97F4A7C15)))
+    for k in np.flatnonzero(length > _LONGEST).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])
+
+
+def spans_equal(one: np.ndarray, begin: np.ndarray, end: np.ndarray, two: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether each span of ``one`` has the bytes of its span of ``two``."""
+    sizes = end - begin
+    same = sizes == stop - start
+    at = np.flatnonzero(same & (sizes > 0))
+    differ = one[gather(begin[at], sizes[at])] != two[gather(start[at], sizes[at])]
+    if differ.any():
+        same[at[np.searchsorted(np.cumsum(sizes[at]), np.flatnonzero(differ), side="right")]] = False
+    return same

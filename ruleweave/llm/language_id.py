@@ -6,14 +6,19 @@ and each order is discounted and interpolated with the next. A model keeps its p
 weights in arrays sorted by 64-bit hash. The language of a text is the one with the lowest cross-entropy per letter.
 
 The models are classifiers fit on a bounded sample of labelled rows: about ``FIT`` texts per language, chosen by a hash
-of the id, and of these the ``GRAMS`` commonest 4-grams per language, which bounds what is collected and broadcast to
-``GRAMS`` x languages entries. About ``CALIBRATE`` further texts per language set the temperature that turns
-cross-entropies into a score, and the cross-entropy above which a text is not accepted as its best language.
+of the id. About ``CALIBRATE`` other texts per language (a ninth of those of the fit where there are few; languages of under
+``FEW`` rows use all theirs for both) set the temperature that turns cross-entropies into a score, and the cross-entropy above
+which a text is not accepted as its best language.
+
+All counts, discounts and probabilities are those of the whole sample. Of the longest n-grams, a model then keeps the
+``GRAMS`` most frequent, which bounds what is broadcast; the weights of their contexts are set anew, so that probabilities
+still sum to one.
 
 Every text is scored whole. Workers score each distinct run of letters once and keep it in a bounded cache.
 
 Defined cases: text that is null or has no letter gives ``und`` with score 0; without labelled rows everything is ``und``;
-repeated rows each count; an empty table gives an empty result; other columns are ignored.
+repeated rows each count; the query doesn't learn from rows without id, and gives them a null held_out; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +32,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hash_spans, map_arrow, mix64, slices, table, utf8_bytes, word_spans
-from .hash_cache import GrowingCache
+from .hash_cache import Growing, SpanStore
 
-ORDER, FIT, CALIBRATE, GRAMS, CACHE = 4, 2_000, 300, 20_000, 800_000
+ORDER, FIT, CALIBRATE, FEW, GRAMS, CACHE = 4, 2_000, 300, 100, 100_000, 800_000
 #: The share of a language's own texts that its acceptance threshold takes in.
 ACCEPT = 0.995
 PAD = "\u0002"
@@ -65,7 +70,7 @@ def _hashes(columns: list[np.ndarray]) -> np.ndarray:
 class KneserNey:
     """One language: per order sorted hashes with log probabilities, and of contexts with log weights."""
 
-    def __init__(self, grams: list[str], counts: np.ndarray, alphabet: int) -> None:
+    def __init__(self, grams: list[str], counts: np.ndarray, alphabet: int, most: int = GRAMS) -> None:
         points = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").reshape(-1, ORDER).astype(np.int64)
         levels = [(points, counts.astype(np.float64))]
         for _ in range(ORDER - 1):
@@ -81,13 +86,22 @@ class KneserNey:
             total, kinds = np.bincount(of, n), np.bincount(of)
             weight = discount * kinds / total
             below = np.full(len(points), 1 / alphabet) if lower is None else np.exp(self._find(lower, _hashes(list(points[:, :0:-1].T))))
-            keys = _hashes(list(points[:, ::-1].T))
+            keys, p = _hashes(list(points[:, ::-1].T)), (n - discount) / total[of] + weight[of] * below
+            if points.shape[1] == ORDER and len(p) > most:
+                keep = np.sort(np.argsort(-n, kind="stable")[:most])
+                kept = np.bincount(of[keep], p[keep], len(total)), np.bincount(of[keep], below[keep], len(total))
+                weight = (1 - kept[0]) / np.maximum(1 - kept[1], 1e-300)
+                first = np.unique(of, return_index=True)[1]
+                contexts, of = points[first], np.arange(len(first))
+                keys, p = keys[keep], p[keep]
+            else:
+                contexts = points
             order = np.argsort(keys)
-            lower = keys[order], np.log((n - discount) / total[of] + weight[of] * below)[order]
+            lower = keys[order], np.log(p)[order]
             self.grams.append((lower[0], lower[1].astype(np.float32)))
             if points.shape[1] > 1:
                 first = np.unique(of, return_index=True)[1]
-                keys = _hashes(list(points[first][:, -2::-1].T))
+                keys = _hashes(list(contexts[first][:, -2::-1].T))
                 order = np.argsort(keys)
                 self.contexts.append((keys[order], np.log(weight)[order].astype(np.float32)))
             else:
@@ -132,28 +146,25 @@ class Models:
         out[:, -1] = np.bincount(word, minlength=len(words))
         return out
 
-    def entropies(self, column: pa.Array, cache: tuple[GrowingCache, list] | None = None) -> np.ndarray:
+    def cache(self) -> tuple[SpanStore, Growing]:
+        """What ``entropies`` keeps between batches."""
+        return SpanStore(CACHE), Growing(np.float32, (len(self.models) + 1,))
+
+    def entropies(self, column: pa.Array, cache: tuple[SpanStore, Growing] | None = None) -> np.ndarray:
         """(texts, languages) cross-entropies per place; nan for texts without letters."""
         data, offsets = utf8_bytes(runs_of_letters(column))
         begin, end, rows = word_spans(data, offsets)
         if not len(begin):
             return np.full((len(column), len(self.models)), np.nan)
-        keys, first, back = np.unique(hash_spans(data, begin, end), return_index=True, return_inverse=True)
-        known, store = cache or (GrowingCache(CACHE), [np.zeros((0, len(self.models) + 1), np.float32)])
-        slot = known.find(keys)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            if len(known) + len(new) > known.most:
-                known.clear()
-                store[:] = [np.zeros((0, len(self.models) + 1), np.float32)]
-                slot, new = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        known, scores = cache or self.cache()
+        used, fresh, base = known.numbers(data, begin, end, hash_spans(data, begin, end))
+        if not base:
+            scores.n = 0
+        if len(fresh):
             raw = data.tobytes()
-            words = [raw[b:e].decode() for b, e in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            slot[new] = np.arange(len(new)) + len(store[0])
-            store[0] = np.concatenate([store[0], self.word_scores(words).astype(np.float32)])
-            known.add(keys[new], slot[new])
+            scores.append(self.word_scores([raw[b:e].decode() for b, e in zip(begin[fresh].tolist(), end[fresh].tolist(), strict=True)]))
         upto = np.zeros((len(begin) + 1, len(self.models) + 1))
-        np.cumsum(store[0][slot[back]], axis=0, dtype=np.float64, out=upto[1:])
+        np.cumsum(scores.all[used], axis=0, dtype=np.float64, out=upto[1:])
         total = upto[rows[1:]] - upto[rows[:-1]]
         with np.errstate(invalid="ignore", divide="ignore"):
             return -total[:, :-1] / total[:, -1:]
@@ -202,36 +213,31 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = FIT, calibrate: int = CALIBRATE, grams: int = GRAMS) -> Models:
     """Models from labelled rows; rows without text or language are left out."""
-    from pyspark.sql import Window
-
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Models({})
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
-    def share(n: int) -> Column:
-        """The share of a language's rows that gives about ``n`` of them."""
-        return F.element_at(F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0, n / size))]), F.col("lang"))
+    def share(n: int, most: float) -> Column:
+        """The share of a language's rows that gives about ``n`` of them, and ``most`` of them at most."""
+        return F.element_at(F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0 if size < FEW else most, n / size))]), F.col("lang"))
 
-    ranked = (
-        map_arrow(rows.where(draw < share(per_language)).select("lang", "text"), _count_grams, "lang string, gram string, n bigint")
+    found = (
+        map_arrow(rows.where(draw < share(per_language, 0.9)).select("lang", "text"), _count_grams, "lang string, gram string, n bigint")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
-        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-        .where(F.col("place") <= grams)
-        .select("lang", "gram", "n")
+        .orderBy("lang", "gram")
         .toArrow()
     )
-    alphabet = len(set("".join(ranked["gram"].to_pylist()))) + 1
+    alphabet = len(set("".join(found["gram"].to_pylist()))) + 1
     models = {}
     for lang in sizes:
-        own = ranked.filter(pa.compute.equal(ranked["lang"], lang))
+        own = found.filter(pa.compute.equal(found["lang"], lang))
         if own.num_rows:
-            models[lang] = KneserNey(own["gram"].to_pylist(), np.asarray(own["n"]), alphabet)
+            models[lang] = KneserNey(own["gram"].to_pylist(), np.asarray(own["n"]), alphabet, grams)
     fitted = Models(models)
-    # these texts are apart from those of the fit where there are enough rows
-    chosen = rows.where((1 - draw) < share(calibrate)).select("lang", "text")
+    chosen = rows.where((1 - draw) <= share(calibrate, 0.1)).select("lang", "text")
     found = _scored(chosen, fitted, ["lang"]).select("lang", "entropies").toArrow()
     entropies = np.array(found["entropies"].to_pylist(), np.float64).reshape(found.num_rows, -1)
     known = np.array([x in models for x in found["lang"].to_pylist()], bool) & ~np.isnan(entropies).any(axis=1)
@@ -246,7 +252,7 @@ def _scored(rows: DataFrame, models: Models, keep: list[str]) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
-        cache = GrowingCache(CACHE), [np.zeros((0, len(models.models) + 1), np.float32)]
+        cache = models.cache()
         for batch in slices(batches, "text"):
             found = models.entropies(batch.column("text"), cache)
             langs, scores, accepted = models.decide(found)

@@ -8,7 +8,8 @@ match fits, the position is marked in a bitfield of failed positions and the las
 fails twice, so the work is linear. There is one sequence in which all neighbours are compatible, and it is the one
 that merging by score, leftmost first, gives. Characters without a piece become byte tokens.
 
-Workers keep the ids of segments in a bounded cache, and gather the ids of all texts of a batch at once.
+Workers keep the ids of segments in a bounded cache, and gather the ids of all texts of a batch at once. Hashes find a
+segment in the cache and its bytes confirm it, so segments that share a hash are told apart.
 
 Defined cases: null text is empty and encodes to the begin and end ids alone; repeated rows each count; segments
 of any length are encoded whole; an empty table gives an empty result; other columns are ignored.
@@ -25,8 +26,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_spans, map_arrow, slices, table, text_of, utf8_bytes
-from .hash_cache import GrowingCache
+from .common import gather, hash_spans, map_arrow, slices, table, text_of, utf8_bytes
+from .hash_cache import Growing, SpanStore
 
 MARK = "▁"
 CACHE, PAIRS = 1_500_000, 400_000
@@ -166,8 +167,8 @@ class Codec:
         self.surface = np.frombuffer(b"".join(self.model.surface), np.uint8)
         self.length = np.array([len(x) for x in self.model.surface], np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.cache = GrowingCache(CACHE)
-        self._empty()
+        self.cache = SpanStore(CACHE)
+        self.ids, self.ids_at = Growing(np.int32), Growing(np.int64)
 
     @classmethod
     def get(cls, path: str) -> Codec:
@@ -175,10 +176,6 @@ class Codec:
             cls.of[path] = cls(path)
         return cls.of[path]
 
-    def _empty(self) -> None:
-        self.cache.clear()
-        self.ids, self.ids_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, without begin and end ids, and the len + 1 offsets of the rows."""
         column = column.cast(pa.large_string()) if column.type == pa.large_string() else column
@@ -193,31 +190,27 @@ class Codec:
         begin = np.flatnonzero(first)
         end = np.append(begin[1:], len(data))
         hashes = hash_spans(data, begin, end)
-        keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        slot = self.cache.find(keys)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            if len(self.cache) + len(new) > CACHE:
-                self._empty()
-                slot, new = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        used, fresh, base = self.cache.numbers(data, begin, end, hashes)
+        if not base:
+            self.ids, self.ids_at = Growing(np.int32), Growing(np.int64)
+            self.ids_at.append(np.zeros(1, np.int64))
+        if len(fresh):
             raw, encode = data.tobytes(), self.model.encode
-            found = [encode(raw[b:e].decode().replace(" ", MARK)) for b, e in zip(begin[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
-            slot[new] = np.arange(len(new)) + len(self.ids_at) - 1
+            found = [encode(raw[b:e].decode().replace(" ", MARK)) for b, e in zip(begin[fresh].tolist(), end[fresh].tolist(), strict=True)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))])
-            self.cache.add(keys[new], slot[new])
-        used = slot[back]
-        sizes = self.ids_at[used + 1] - self.ids_at[used]
+            self.ids_at.append(self.ids_at.all[-1] + np.cumsum(sizes))
+            self.ids.append(np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum())))
+        at = self.ids_at.all
+        sizes = at[used + 1] - at[used]
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[_gather(self.ids_at[used], sizes, upto)]
+        ids = self.ids.all[gather(at[used], sizes)]
         return ids, upto[np.searchsorted(begin, offsets)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the texts, and the len + 1 offsets of the rows. The first space of a row goes."""
         sizes = self.length[ids]
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        data = self.surface[_gather(self.start[ids], sizes, upto)]
+        data = self.surface[gather(self.start[ids], sizes)]
         at = upto[offsets]
         lead = at[:-1][at[:-1] < at[1:]]
         lead = lead[data[lead] == 32]
@@ -226,11 +219,6 @@ class Codec:
         return data[keep], at - np.searchsorted(lead, at)
 
 
-def _gather(starts: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """The indexes of all spans, one after the other."""
-    return np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])
-
-
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, the columns of ``keep``, then ``outputs``, any of OUTPUTS.
 
