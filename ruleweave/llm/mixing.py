@@ -8,14 +8,16 @@ The fixpoint of that reshare is closed-form: with sources ordered by bound / wei
 bound are a prefix, and the level of the others follows from running sums. Only the table of sources (one row
 each) is ordered globally; documents never are.
 
-A document is repeated floor(rate) times; for the fraction, documents in the order of a seeded key are taken
-until the source's remaining words are reached, to the nearest document. That prefix is found through bucket
-sums (4,096 buckets of the key in a source) and one window over the single bucket in which it ends, so a hot source is
-never ordered in one task, and reruns agree.
+A row is repeated floor(rate) times; for the fraction, rows in the order of a seeded key of id and text are taken
+until the source's remaining words are reached, to the nearest row. That place is found by descent: sums by the first
+digits of the key name the bucket in which it lies, sums by the next digits go on in that bucket, and so to a single key.
+Equal rows (of one id and text) share a key; as many of them are taken as fit, by where they stand in the table. So
+no source is ever ordered in one task however large it is, and reruns agree. Rows are never joined with each other:
+each meets the one row of its source.
 
 Defined cases: null text has size 0 and is taken as often as others; null source is a source of its own, after
-all others; sources without words have target 0; repeated rows count each; an empty table gives an empty result;
-other columns are left alone.
+all others; sources without words have target 0; null and repeated ids are told apart by their texts, equal rows by their
+places, so targets are met with these too; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import table, word_count, written
 
 WEIGHTS, BUDGET, EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
-#: Hex digits of the key that name a bucket.
-DIGITS = 3
+#: Hex digits of the key that name the bucket at each step of the descent.
+DIGITS = (3, 6, 9)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, max_epochs: float = EPOCHS) -> DataFrame:
@@ -58,6 +60,66 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
     )
 
 
+def _boundary(sums: DataFrame, state: DataFrame, name: str) -> DataFrame:
+    """(source, name, rest): in sums of size by source and ``name``, the first at which the running sum passes what is
+    left for the source, and what is left before it. Sources that never pass it have no row."""
+    joined = sums.alias("b").join(state.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
+    running = Window.partitionBy("b.source").orderBy(f"b.{name}")
+    passed = joined.select("b.source", f"b.{name}", "b.size", "t.rest", F.sum("b.size").over(running).alias("upto")).where(F.col("upto") > F.col("rest"))
+    found = passed.groupBy("source").agg(F.min(F.struct(name, (F.col("rest") - (F.col("upto") - F.col("size"))).alias("rest"))).alias("at"))
+    return found.select("source", f"at.{name}", "at.rest")
+
+
+def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, cut, last): the rows of a source to take once more are those of a key below ``cut``, and of this key up to place ``last``."""
+    narrow, state = rows.select("source", "key", "size", "place"), targets.select("source", "rest")
+    for n, digits in enumerate(DIGITS):
+        if n:
+            same = F.col("r.source").eqNullSafe(F.col("s.source")) & F.col("r.key").startswith(F.col("s.bucket"))
+            narrow = narrow.alias("r").join(state.alias("s"), same).select("r.source", "r.key", "r.size", "r.place")
+        sums = narrow.groupBy("source", F.substring("key", 1, digits).alias("bucket")).agg(F.sum("size").alias("size"))
+        state = written(_boundary(sums, state, "bucket"), "mix-state")
+    # the key itself, of few that are left, and how many of its equal rows fit
+    same = F.col("r.source").eqNullSafe(F.col("s.source")) & F.col("r.key").startswith(F.col("s.bucket"))
+    narrow = narrow.alias("r").join(state.alias("s"), same).select("r.source", "r.key", "r.size", "r.place")
+    keys = narrow.groupBy("source", "key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    at = _boundary(keys.select("source", "key", "size"), state, "key")
+    one = F.col("k.size") / F.col("k.n")
+    fit = F.greatest(F.lit(0), F.floor((F.col("rest") - one / 2) / one) + 1).cast("long")
+    at = keys.alias("k").join(at.alias("a"), F.col("k.source").eqNullSafe(F.col("a.source")) & (F.col("k.key") == F.col("a.key")))
+    at = written(at.select("k.source", "k.key", F.least(F.col("k.n"), fit).alias("size"), F.col("k.n").alias("n")), "mix-key")
+    # which of the equal rows: first the partition of the table, then the place in it
+    split = at.where("size > 0 and size < n").select("source", "key", (F.col("size") - 0.5).alias("rest"))
+    equal = narrow.alias("r").join(split.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.key") == F.col("s.key")))
+    equal = equal.select("r.source", "r.place", F.shiftright("r.place", 33).alias("part"))
+    part = _boundary(equal.groupBy("source", "part").agg(F.count(F.lit(1)).alias("size")), split, "part")
+    inside = equal.alias("r").join(part.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part")))
+    last = _boundary(inside.select("r.source", "r.place", F.lit(1).alias("size")), part, "place").select("source", F.col("place").alias("last"))
+    chosen = F.when(F.col("a.size") == 0, F.lit(-1)).otherwise(F.coalesce("l.last", F.lit((1 << 63) - 1)))
+    return written(at.alias("a").join(last.alias("l"), F.col("a.source").eqNullSafe(F.col("l.source")), "left").select("a.source", F.col("a.key").alias("cut"), chosen.cast("long").alias("last")), "mix-cuts")
+
+
+def _dealt(
+    docs: DataFrame, carried: list[str], id_col: str, text_col: str, source_col: str, weights: Sequence[float], budget: float, max_epochs: float, seed: str
+) -> DataFrame:
+    """Every row with id, source, size, source_size, target, copies and a struct ``doc`` of the carried columns."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+    doc = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None)
+    rows = docs.select(doc.alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
+    rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "mix-rows")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = source_targets(rows, weights, budget, max_epochs).withColumn("whole", F.floor(rate))
+    targets = written(targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    cuts = _cuts(rows, targets)
+    # no cut: what is left takes all rows, or there is nothing to take
+    whole = targets.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
+    whole = whole.select("t.source", "t.source_size", "t.target", "t.whole", "t.rest", "c.cut", "c.last").alias("w")
+    again = F.when(F.col("w.rest") <= 0, 0).when(F.col("w.cut").isNull(), 1).otherwise(((F.col("r.key") < F.col("w.cut")) | (F.col("r.key") == F.col("w.cut")) & (F.col("r.place") <= F.col("w.last"))).cast("int"))
+    joined = rows.alias("r").join(whole, F.col("r.source").eqNullSafe(F.col("w.source")))
+    return joined.select("r.doc", "r.id", "r.source", "r.size", "w.source_size", "w.target", (F.col("w.whole") + again.cast("long")).alias("copies"))
+
+
 def mix_plan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -69,62 +131,23 @@ def mix_plan(
     seed: str = SEED,
 ) -> DataFrame:
     """One row per document: id, size, source, source_size, target, copies (how often the mix takes it)."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = written(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")),
-        "mix-sizes",
-    )
-    rows = rows.withColumn("bucket", F.substring("key", 1, DIGITS))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = written(
-        source_targets(rows, weights, budget, max_epochs)
-        .withColumn("whole", F.floor(rate))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")),
-        "mix-targets",
-    )
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    running = Window.partitionBy("b.source").orderBy("b.bucket")
-    found = (
-        buckets.alias("b")
-        .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-        .select("b.source", "b.bucket", "b.in_bucket", "t.rest", F.sum("b.in_bucket").over(running).alias("upto"))
-        .where(F.col("upto") > F.col("rest"))
-        .groupBy("source")
-        .agg(F.min_by(F.struct("bucket", "rest", (F.col("upto") - F.col("in_bucket")).alias("before")), "bucket").alias("at"))
-        .select("source", "at.*")
-    )
-    ends = (
-        rows.alias("r")
-        .join(found.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & (F.col("r.bucket") == F.col("f.bucket")))
-        .select("r.source", "r.key", "r.id", "r.size", "f.rest", "f.before")
-    )
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0))
-    last = ends.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max("key").alias("last"))
-    cuts = written(
-        targets.alias("t")
-        .join(found.alias("f"), F.col("t.source").eqNullSafe(F.col("f.source")), "left")
-        .join(last.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left")
-        .select("t.source", "t.source_size", "t.target", "t.whole", F.coalesce("l.last", "f.bucket", F.lit("")).alias("cut")),
-        "mix-cuts",
-    )
-    return rows.join(cuts, same(rows, cuts)).select(
-        rows["id"].alias(id_col),
-        "size",
-        rows["source"].alias(source_col),
-        "source_size",
-        "target",
-        (F.col("whole") + (F.col("key") <= F.col("cut")).cast("long")).alias("copies"),
-    )
+    dealt = _dealt(docs, [], id_col, text_col, source_col, weights, budget, max_epochs, seed)
+    return dealt.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "copies")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = WEIGHTS,
+    budget: float = BUDGET,
+    max_epochs: float = EPOCHS,
+    seed: str = SEED,
+) -> DataFrame:
     """The documents of the mix, each row as often as the mix takes it; the columns stay as they are."""
-    plan = mix_plan(docs, id_col=id_col, **options).where("copies > 0")
-    one = plan.select(F.col(id_col).alias("__mix_id"), F.col("copies").alias("__mix_copies")).groupBy("__mix_id").agg(F.max("__mix_copies").alias("__mix_copies"))
-    joined = docs.join(one, F.col(id_col).eqNullSafe(F.col("__mix_id")))
-    repeated = joined.withColumn("__mix_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    dealt = _dealt(docs, docs.columns, id_col, text_col, source_col, weights, budget, max_epochs, seed).where("copies > 0")
+    return dealt.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +159,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
