@@ -2,13 +2,15 @@
 
 Texts count as equal when they are identical after each run of ASCII white space became one space. A text is cut
 after every word whose hash is 0 modulo ``CHUNK_WORDS``, so equal passages give equal chunks wherever they stand.
-Words of over ``LONG_WORD`` characters are also cut inside, so texts without spaces have small chunks too.
+Words of over ``LONG_WORD`` characters are also cut inside, after each character at which the hash of the last
+``REACH`` characters is 0 modulo ``CHUNK_CHARS``, so texts without spaces are cut by their content too.
 The marks for the cuts are escaped, so the list of chunks determines the text.
 
 Each chunk gets its 64-bit hash as identifier. Identifiers are verified: the distinct chunks are grouped with their
 whole text once (combined map-side), and a hash with two texts is a conflict. Documents then compare by their ordered
 identifier lists, a few bytes a chunk: the texts of long documents don't move again. Documents that hold a
-conflicting identifier also compare by the SHA-256 of their text.
+conflicting identifier also compare by the SHA-256 of their text. Recipes that a large share of all rows have are met by
+broadcast (``hot_join``), so a large group fills no task.
 
 Defined cases: null text is empty text; empty texts equal each other; the smallest id of a group stays (null ids
 come last, and all rows that share the staying id stay); repeated rows count in group_size; an empty table gives an
@@ -20,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, text_of, written
+from .common import SPACE, hot_join, table, text_of, written
 
-CHUNK_WORDS, LONG_WORD = 64, 2048
+CHUNK_WORDS, LONG_WORD, CHUNK_CHARS, REACH = 64, 2048, 512, 8
 _ESC, _ESCAPED, _CUT = "\u0001", "\u0001\u0002", "\u0001\u0003"
 
 
@@ -35,8 +37,14 @@ def chunks(norm: Column, chunk_words: int = CHUNK_WORDS) -> Column:
     """The chunks of a normalised text, in order; each but the last ends with the cut mark."""
     escaped = F.replace(norm, F.lit(_ESC), F.lit(_ESCAPED))
 
+    def cut_inside(chars: Column) -> Column:
+        before = lambda i: [F.coalesce(F.get(chars, i - k), F.lit("")) for k in range(REACH)]
+        return F.array_join(F.transform(chars, lambda c, i: F.when(F.pmod(F.xxhash64(*before(i)), F.lit(CHUNK_CHARS)) == 0, F.concat(c, F.lit(_CUT))).otherwise(c)), "")
+
     def marked(word: Column) -> Column:
-        inside = F.when(F.length(word) > LONG_WORD, F.regexp_replace(word, f"(?s)(.{{{LONG_WORD}}})", f"$1{_CUT}")).otherwise(word)
+        # the array of one array binds the characters to a name, so that they are taken apart once
+        chars = F.array(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)))
+        inside = F.when(F.length(word) > LONG_WORD, F.get(F.transform(chars, cut_inside), 0)).otherwise(word)
         return F.when(F.pmod(F.xxhash64(word), F.lit(chunk_words)) == 0, F.concat(inside, F.lit(_CUT))).otherwise(inside)
 
     return F.split(F.array_join(F.transform(F.split(escaped, " "), marked), " "), f"(?<={_CUT})")
@@ -57,16 +65,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hit = rows.select("id", F.explode("recipe").alias("h")).join(conflicts, "h", "left_semi").select("id").distinct().withColumn("hit", F.lit(True))
         rows = rows.join(hit, "id", "left").select("id", "sha", "recipe", F.when(F.col("hit"), F.col("sha")).otherwise("").alias("also"))
 
-    groups = rows.groupBy("recipe", "also").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.alias("r").join(groups.alias("g"), (F.col("r.recipe") == F.col("g.recipe")) & (F.col("r.also") == F.col("g.also")), "left")
-    keep = F.coalesce(F.col("g.keep"), F.col("r.id"))
+    groups = rows.groupBy("recipe", "also").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("rows"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = hot_join(rows, written(groups, "dedup-groups"), ["recipe", "also"], rows.count())
+    keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))
     return joined.select(
-        F.col("r.id").alias(id_col),
+        F.col("id").alias(id_col),
         keep.alias("keep_id"),
-        F.coalesce(F.col("g.n"), F.lit(1)).cast("long").alias("group_size"),
-        F.col("r.id").eqNullSafe(keep).alias("kept"),
-        F.col("r.sha").alias("text_sha256"),
-        F.size("r.recipe").cast("long").alias("n_chunks"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        F.col("id").eqNullSafe(keep).alias("kept"),
+        F.col("sha").alias("text_sha256"),
+        F.size("recipe").cast("long").alias("n_chunks"),
     )
 
 
