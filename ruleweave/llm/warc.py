@@ -11,16 +11,16 @@ frame, and checks the version line, the header fields that each type needs, that
 is followed by two line ends, and the payload digest. What is wrong raises ValueError with the archive and offset.
 
 Archives have about ``ARCHIVE`` compressed bytes, so a worker holds no more than one archive and one record.
-Files are written under a name of their own and renamed, so a task that is run again leaves the same files.
+Each attempt of a task writes files of its own and returns their names; only what the attempts that counted returned is read
+back, so tasks that run again, or twice, leave no record too many. Workers open archives through Arrow's file systems.
 
-Defined cases: null html is an empty payload, null url an empty one; rows with equal ids and payloads are all
+Defined cases: null html is an empty payload, null url an empty one; a null id is written as such; rows with equal ids and payloads are all
 responses if theirs is the smallest id; an empty table gives no archives and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 from collections.abc import Iterator
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_path, map_arrow, scratch_path, slices, table, text_of, written
+from .common import hot_join, map_arrow, scratch_path, slices, store, table, text_of, written
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -71,16 +71,16 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write one record per row to archives in the folder ``path``; returns (file, records)."""
+    """Write one record per row to archives in the folder ``path``; returns (file, records), to be run once."""
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text_of(html_col).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     narrow = rows.where(F.octet_length("html") >= REVISIT).select("id", "digest")
-    firsts = narrow.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = narrow.join(firsts, "digest").where("id > refers_to or id is null and refers_to is not null").select("id", "digest", "refers_to").distinct()
+    firsts = narrow.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = written(firsts.withColumnRenamed("n", "rows"), "warc-firsts")
+    revisits = hot_join(narrow, firsts, ["digest"], narrow.count(), "inner").where("id > refers_to or id is null and refers_to is not null").select("id", "digest", "refers_to").distinct()
     revisits = written(revisits, "warc-revisits").alias("v")
     rows = rows.alias("r").join(revisits, F.col("r.id").eqNullSafe(F.col("v.id")) & (F.col("r.digest") == F.col("v.digest")), "left")
     rows = rows.select("r.id", "r.url", "r.html", "r.digest", "v.refers_to")
-    folder = local_path(path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -88,27 +88,26 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
         context = TaskContext.get()
         out, count, number, size, writer = None, 0, 0, 0, None
-        os.makedirs(folder, exist_ok=True)
+        files, folder = store(path)
+        files.create_dir(folder)
         done = []
 
         def close() -> None:
             nonlocal out
             if out is not None:
                 out.close()
-                os.replace(temporary, final)
-                done.append((final, count))
+                done.append((name, count))
                 out = None
 
         for batch in slices(batches, "html"):
             records = [_page_record(p) for p in batch.to_pylist()]
             for k, record in enumerate(records):
                 if out is None:
-                    name = f"part-{context.partitionId():05d}-{number:04d}.warc.zst"
-                    final, temporary = os.path.join(folder, name), os.path.join(folder, f".{name}.{context.taskAttemptId()}")
+                    name = f"part-{context.partitionId():05d}-{number:04d}-{context.taskAttemptId()}.warc.zst"
                     number, count = number + 1, 0
                     words = _dictionary(records[k : k + SAMPLES])
                     writer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_checksum=True, write_content_size=True)
-                    out = open(temporary, "wb")  # noqa: SIM115
+                    out = files.open_output_stream(f"{folder}/{name}", compression=None)
                     info = writer.compress(_record("warcinfo", {"WARC-Record-ID": f"<urn:archive:{name}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
                     size = out.write(struct.pack("<II", DICTIONARY_MAGIC, len(words)) + words + info)
                 size += out.write(writer.compress(record))
@@ -189,42 +188,54 @@ def _http(block: bytes, where: str) -> tuple[int, bytes]:
     return len(body), body
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The response and revisit records of all archives in ``path``.
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, listed: DataFrame | None = None) -> DataFrame:
+    """The response and revisit records of all archives in ``path``, or of those only whose names ``listed`` has (column file).
 
     Columns: file, offset, record_type, record_id, url, payload_bytes, payload_digest, refers_to, and payload
     (the body; null for revisits) if asked for.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
     schema = "file string, offset bigint, record_type string, record_id string, url string, payload_bytes bigint, payload_digest string, refers_to string" + ", payload binary" * payloads
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def records(file: str, content: pa.Buffer) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for offset, record in frames(memoryview(content), file):
+            where = f"{file} at {offset}"
+            parsed = parse_record(record, where)
+            fields, kind = parsed["fields"], parsed["fields"]["warc-type"]
+            if kind not in ("response", "revisit"):
+                continue
+            length, body = _http(parsed["block"], where)
+            digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
+            if kind == "response":
+                if length != len(body):
+                    raise ValueError(f"{where}: the payload has not Content-Length bytes")
+                if digest != hashlib.sha256(body).hexdigest():
+                    raise ValueError(f"{where}: the payload has another digest")
+            rows.append((file, offset, kind, fields["warc-record-id"], fields.get("warc-target-uri"), length, digest, fields.get("warc-refers-to"), body if kind == "response" else None))
+            size += len(body) * payloads
+            if size > 4 << 20 or len(rows) >= 5_000:
+                yield _rows(rows, names)
+                rows, size = [], 0
+        if rows:
+            yield _rows(rows, names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows, size = [], 0
-                file = file.as_py()
-                for offset, record in frames(memoryview(content.as_buffer()), file):
-                    where = f"{file} at {offset}"
-                    parsed = parse_record(record, where)
-                    fields, kind = parsed["fields"], parsed["fields"]["warc-type"]
-                    if kind not in ("response", "revisit"):
-                        continue
-                    length, body = _http(parsed["block"], where)
-                    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-                    if kind == "response":
-                        if length != len(body):
-                            raise ValueError(f"{where}: the payload has not Content-Length bytes")
-                        if digest != hashlib.sha256(body).hexdigest():
-                            raise ValueError(f"{where}: the payload has another digest")
-                    rows.append((file, offset, kind, fields["warc-record-id"], fields.get("warc-target-uri"), length, digest, fields.get("warc-refers-to"), body if kind == "response" else None))
-                    size += len(body) * payloads
-                    if size > 4 << 20 or len(rows) >= 5_000:
-                        yield _rows(rows, names)
-                        rows, size = [], 0
-                if rows:
-                    yield _rows(rows, names)
+                yield from records(file.as_py(), content.as_buffer())
 
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = store(path)
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                with files.open_input_file(f"{folder}/{name}") as f:
+                    content = f.read_buffer()
+                yield from records(f"{path}/{name}", content)
+
+    if listed is not None:
+        return map_arrow(listed.select("file").repartition("file"), fetch, schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
     return map_arrow(files, read, schema)
 
 
@@ -236,11 +247,9 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = scratch_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path).agg(F.sum("records")).collect()
-    if spark.sparkContext._jvm is not None and not os.path.isdir(local_path(path)):
-        os.makedirs(local_path(path))
+    listed = written(write_archives(table(spark, sf_dir, "pages"), path), "warc-files")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    return read_archives(spark, path, payloads=False).select(
+    return read_archives(spark, path, payloads=False, listed=listed).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to")
     )
 
