@@ -30,7 +30,6 @@ class EliasFano:
         self.high, at = flat[at : at + high], at + high
         self.low, at = flat[at : at + low], at + low
         self.ones = flat[at : at + cum].view(np.uint32)[: high + 1]
-        self.zeros = np.arange(high + 1, dtype=np.int64) * 64 - self.ones
         self.size = at + cum
 
     @staticmethod
@@ -77,8 +76,16 @@ class EliasFano:
     def _begin(self, tops: np.ndarray) -> np.ndarray:
         """The first place whose high part is at least ``tops``: behind the zero of the part before."""
         k = np.maximum(tops - 1, 0)
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        at = word * 64 + _select_in_word(~self.high[word], k - self.zeros[word])
+        # the word of the zero number k: at most n ones are before it
+        low, high = k >> 6, np.minimum(((k + self.n) >> 6) + 1, len(self.high))
+        live = np.flatnonzero(low < high)
+        while len(live):
+            mid = (low[live] + high[live] + 1) >> 1
+            up = mid * 64 - self.ones[mid] <= k[live]
+            low[live] = np.where(up, mid, low[live])
+            high[live] = np.where(up, high[live], mid - 1)
+            live = live[low[live] < high[live]]
+        at = low * 64 + _select_in_word(~self.high[low], k - (low * 64 - self.ones[low]))
         return np.where(tops > 0, at - k, 0)
 
     def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -5,42 +5,51 @@ first word. The model interpolates trigrams, bigrams and unigrams with absolute
 
     p3(c | a b) = (n(abc) - D) / n(ab) + D * kinds(ab) / n(ab) * p2(c | b),   p2 likewise,   p1(c) = (n(c) + 0.5) / (N + 0.5 (V + 1))
 
+D is once / (once + 2 * twice), by order, from how many n-grams of the whole corpus occur once and twice.
+
 Learning counts every n-gram of the training texts. The vocabulary is written as sorted hashes with counts, in
 ``PARTS`` files by hash; a word's id is its place. Triples of ids are counted per batch, and go in compressed blocks to
 shards by their first word. The words that would fill over a quarter of a shard are split over all shards by their second word too, so
-no frequent word makes a hot shard. Each shard is one file:
+no frequent word makes a hot shard. Each shard first adds up its triples, which gives the discounts of all; then it becomes one file:
 
     level 1: ids a, level 2: ids b of every a, level 3: ids c of every (a, b) -- each an Elias-Fano sequence, in which the ids of
     one context are relative to the last value of the context before it, so that the whole level ascends;
     pointers from each level to the next, Elias-Fano too;
-    discounted probabilities and context weights, a byte each, with a codebook of 256 values.
+    discounted probabilities and context weights, two bytes each, with a codebook of ``BOOK`` values, evenly spaced in
+    logarithms, so that no value is off by more than a ``BOOK``-th of the range (a thousandth of a decade or so).
+
+So the model is the same for any number of shards, but for those thousandths.
 
 Scoring maps the files into memory. The distinct pairs and triples of a batch are sought level by level: the
 pointers give the range of the context, its last value before gives the offset, and the value is the successor
-in its bucket. Memory is the pages that queries touch, shared by the workers of a machine.
+in its bucket. Memory is the pages that queries touch, shared by the workers of a machine; at most ``OPEN`` files are mapped at a time.
 
-The shared folder must be one that executors can open as files. Files are renamed into place when they are whole.
+Files are renamed into place when they are whole. Workers open them through Arrow's file systems; those that are not
+local are read instead of mapped.
 
 Defined cases: null text is empty and has one token, the end; repeated rows each count; words of any length
-are one token; without training texts every token has p1 = 1; an empty table gives an empty result; other columns
-are ignored.
+are one token; without training texts every token has p1 = 1; the query learns from rows without id and gives them a null
+held_out; an empty table gives an empty result; other columns are ignored. The triples of one pair of words are in one
+shard; they are added up per batch before they move.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, hash_spans, local_path, map_arrow, mix64, scratch_path, slices, table, text_of, utf8_bytes, word_spans
+from ..storage import delete
+from .common import TO_LOWER, hash_spans, map_arrow, mix64, scratch_path, slices, store, table, text_of, utf8_bytes, word_spans
 from .elias_fano import EliasFano
 
-PARTS, SHARD_TOKENS, BATCH = 64, 2_000_000, 4 << 20
+PARTS, SHARD_TOKENS, BATCH, BOOK, OPEN = 64, 2_000_000, 4 << 20, 4_096, 512
 END = np.int64(0x0E0D)
 NONE, UNKNOWN = 0xFFFFFFFF, 0xFFFFFFFE
 DISCOUNT = 0.75
@@ -74,12 +83,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _save(path: str, arrays: list[np.ndarray]) -> None:
     """Arrays one after the other, whole or not at all."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    temporary = f"{path}.{os.getpid()}.{np.random.default_rng().integers(1 << 62)}"
-    with open(temporary, "wb") as f:
+    files, name = store(path)
+    files.create_dir(name.rsplit("/", 1)[0])
+    temporary = f"{name}.{uuid.uuid4().hex}"
+    with files.open_output_stream(temporary, compression=None) as f:
         for a in arrays:
-            f.write(a.tobytes())
-    os.replace(temporary, path)
+            f.write(np.ascontiguousarray(a))
+    files.move(temporary, name)
+
+
+def _open(path: str, kind: type) -> np.ndarray | None:
+    """The array in a file, mapped if it is local; None if there is none."""
+    files, name = store(path)
+    if files.get_file_info(name).type == pa.fs.FileType.NotFound:
+        return None
+    if isinstance(files, pa.fs.LocalFileSystem):
+        return np.memmap(name, kind, "r").view(np.ndarray)
+    with files.open_input_file(name) as f:
+        return np.frombuffer(f.read_buffer(), kind)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -108,8 +129,22 @@ def _write_vocabulary(folder: str):
             order = np.argsort(h)
             h, n = h[order], n[order]
             _save(f"{folder}/words-{part:02d}", [np.array([len(h)], np.int64), h, n])
-            top = np.argsort(-n, kind="stable")[:256]
-            yield pa.RecordBatch.from_pydict({"part": [part], "words": [len(h)], "total": [int(n.sum())], "top": [top.astype(np.int64)], "top_n": [n[top]]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "words": [len(h)], "total": [int(n.sum())]})
+
+    return run
+
+
+def _hot_words(model: Model):
+    """Ids and counts of the words that fill over a quarter of a shard, of the parts given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files.get(model)
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                if model.base[p] < model.base[p + 1]:
+                    n = files.part(p)[1]
+                    at = np.flatnonzero(4 * n * model.shards > model.total)
+                    yield pa.RecordBatch.from_pydict({"word": at + model.base[p], "n": n[at]})
 
     return run
 
@@ -123,6 +158,7 @@ class Model:
     words: int = 0
     base: np.ndarray = field(default_factory=lambda: np.zeros(PARTS + 1, np.int64))
     shards: int = 1
+    discounts: tuple[float, float] = (DISCOUNT, DISCOUNT)
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     hot_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
@@ -155,7 +191,7 @@ class Files:
     def part(self, p: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes and counts of a part of the vocabulary."""
         if p not in self.parts:
-            flat = np.memmap(f"{self.model.folder}/words-{p:02d}", np.int64, "r").view(np.ndarray)
+            flat = _open(f"{self.model.folder}/words-{p:02d}", np.int64)
             n = int(flat[0])
             self.parts[p] = flat[1 : n + 1], flat[n + 1 : 2 * n + 1]
         return self.parts[p]
@@ -184,9 +220,13 @@ class Files:
         return ids[back], counts[back]
 
     def trie(self, shard: int) -> Trie | None:
-        if shard not in self.tries:
-            path = f"{self.model.folder}/shard-{shard:05d}"
-            self.tries[shard] = Trie(path) if os.path.exists(path) else None
+        if shard in self.tries:
+            self.tries[shard] = self.tries.pop(shard)  # the latest is last
+        else:
+            if len(self.tries) >= OPEN:
+                del self.tries[next(iter(self.tries))]
+            flat = _open(f"{self.model.folder}/shard-{shard:05d}", _U)
+            self.tries[shard] = None if flat is None else Trie(flat)
         return self.tries[shard]
 
 
@@ -222,20 +262,19 @@ def _triples(model: Model):
     return run
 
 
-def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte per value, and the codebook (256 doubles) of what the bytes stand for."""
-    book = np.unique(values)
-    if len(book) > 256:
-        edges = np.quantile(values, np.linspace(0, 1, 257)[1:-1])
-        of = np.searchsorted(edges, values, side="right")
-        n = np.bincount(of, minlength=256)
-        mean = np.bincount(of, values, 256) / np.maximum(n, 1)
-        return of.astype(np.uint8), mean
-    return np.searchsorted(book, values).astype(np.uint8), np.concatenate([book, np.zeros(256 - len(book))])
+def _coded(values: np.ndarray, size: int = BOOK) -> tuple[np.ndarray, np.ndarray]:
+    """Two bytes per positive value, and the codebook of what they stand for: the logarithmic means of even cells."""
+    if not len(values):
+        return np.zeros(0, np.uint16), np.zeros(size)
+    logs = np.log(values)
+    low, high = logs.min(), logs.max()
+    of = np.minimum(((logs - low) * (size / max(high - low, 1e-12))).astype(np.int64), size - 1)
+    n = np.bincount(of, minlength=size)
+    return of.astype(np.uint16), np.exp(np.bincount(of, logs, size) / np.maximum(n, 1))
 
 
-def _bytes_flat(codes: np.ndarray) -> np.ndarray:
-    return np.concatenate([codes, np.zeros(-len(codes) % 8, np.uint8)]).view(_U)
+def _codes_flat(codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint16)]).view(_U)
 
 
 def _relative(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -247,13 +286,12 @@ def _relative(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
     return out, int(out[-1]) + 1 if len(out) else 1
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = (counts == 1).sum(), (counts == 2).sum()
+def _discount(once: int, twice: int) -> float:
     return float(min(0.95, max(0.05, once / (once + 2 * twice)))) if once else DISCOUNT
 
 
-def build_shard(path: str, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, counts_of_a, hot: np.ndarray) -> dict[int, int]:
-    """Write the trie of triples (distinct, sorted). Returns how many followers each hot word has here."""
+def build_shard(path: str, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, counts_of_a, discounts: tuple[float, float]) -> None:
+    """Write the trie of triples (distinct, sorted)."""
     pair = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
     pair_n = np.add.reduceat(n, pair)
     first, second = a[pair], b[pair]
@@ -261,18 +299,15 @@ def build_shard(path: str, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.nd
     kinds = np.diff(np.append(word, len(first)))
     words = first[word]
     whole = counts_of_a(words).astype(np.float64)
-    is_hot = np.isin(words, hot)
-    own = _discount(pair_n)
-    discount = np.where(is_hot, DISCOUNT, own)
-    weight1 = discount * kinds / whole
-    alpha2 = (pair_n - np.repeat(discount, kinds)) / np.repeat(whole, kinds)
+    two, three = discounts
+    weight1 = two * kinds / whole  # hot words have theirs in the model
+    alpha2 = (pair_n - two) / np.repeat(whole, kinds)
     real = c != NONE
     of_pair = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(a))))
     c3, n3, of_pair = c[real], n[real], of_pair[real]
-    own = _discount(n3)
     children = np.bincount(of_pair, minlength=len(pair))
-    weight2 = np.where(children > 0, own * children / pair_n, 1.0)
-    alpha3 = (n3 - own) / pair_n[of_pair]
+    weight2 = np.where(children > 0, three * children / pair_n, 1.0)
+    alpha3 = (n3 - three) / pair_n[of_pair]
     ids1 = EliasFano.pack(words, int(words[-1]) + 1)
     to2 = EliasFano.pack(np.append(word, len(first)), len(first) + 1)
     ids2 = EliasFano.pack(*_relative(second, word))
@@ -280,23 +315,21 @@ def build_shard(path: str, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.nd
     to3 = EliasFano.pack(upto, len(c3) + 1)
     starts = upto[:-1][children > 0]
     ids3 = EliasFano.pack(*_relative(c3, starts)) if len(c3) else EliasFano.pack(c3, 1)
-    coded = [_coded(x) if len(x) else (np.zeros(0, np.uint8), np.zeros(256)) for x in (weight1, alpha2, weight2, alpha3)]
-    sections = [ids1, to2, ids2, to3, ids3, *[_bytes_flat(codes) for codes, _ in coded], *[book.view(_U) for _, book in coded]]
+    coded = [_coded(x) for x in (weight1, alpha2, weight2, alpha3)]
+    sections = [ids1, to2, ids2, to3, ids3, *[_codes_flat(codes) for codes, _ in coded], *[book.view(_U) for _, book in coded]]
     head = np.concatenate([[len(sections)], np.cumsum([0, *[len(s) for s in sections]])]).astype(_U)
     _save(path, [head, *sections])
-    return dict(zip(words[is_hot].tolist(), kinds[is_hot].tolist(), strict=True))
 
 
 class Trie:
     """A shard's levels, mapped into memory."""
 
-    def __init__(self, path: str) -> None:
-        flat = np.memmap(path, _U, "r").view(np.ndarray)
+    def __init__(self, flat: np.ndarray) -> None:
         n = int(flat[0])
         at = flat[1 : n + 2].astype(np.int64) + n + 2
         parts = [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         self.ids1, self.to2, self.ids2, self.to3, self.ids3 = (EliasFano(p) for p in parts[:5])
-        codes, books = [p.view(np.uint8) for p in parts[5:9]], [np.array(p).view(np.float64) for p in parts[9:13]]
+        codes, books = [p.view(np.uint16) for p in parts[5:9]], [p.view(np.float64) for p in parts[9:13]]
         self.weight1, self.alpha2, self.weight2, self.alpha3 = zip(codes, books, strict=True)
 
     @staticmethod
@@ -323,12 +356,13 @@ class Trie:
         return self._child(self.to3, self.ids3, node, c)
 
 
-def _build(model: Model):
+def _merge(model: Model):
+    """Add up the triples of each shard and keep them in a file; how often n-grams occur, and the followers of hot words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        files, unzip = Files.get(model), zstandard.ZstdDecompressor()
-
+        unzip, zip_ = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for shard, rows in _groups(batches, "shard"):
             columns: list[list[np.ndarray]] = [[], [], [], []]
             for r in rows:
@@ -342,8 +376,31 @@ def _build(model: Model):
             a, b, c, n = (x[order].astype(np.int64) for x in (a, b, c, n))
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
             n = np.add.reduceat(n, new)
-            kinds = build_shard(f"{model.folder}/shard-{shard:05d}", a[new], b[new], c[new], n, files.counts, model.hot)
-            yield pa.RecordBatch.from_pydict({"word": np.array(list(kinds), np.int64), "kinds": np.array(list(kinds.values()), np.int64)})
+            a, b, c = a[new], b[new], c[new]
+            raw = np.concatenate([np.diff(a, prepend=0), b, c, n]).astype("<u4")
+            _save(f"{model.folder}/raw/{shard:05d}", [np.frombuffer(zip_.compress(raw.tobytes()), np.uint8)])
+            pair = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            pair_n, n3 = np.add.reduceat(n, pair), n[c != NONE]
+            hot, kinds = np.unique(a[pair][np.isin(a[pair], model.hot)], return_counts=True)
+            rare = [int((x == k).sum()) for x in (pair_n, n3) for k in (1, 2)]
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "rare": [rare], "hot": [hot], "kinds": [kinds]})
+
+    return run
+
+
+def _build(model: Model):
+    """The tries of the shards given, from their triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        files, unzip = Files.get(model), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                raw = np.frombuffer(unzip.decompress(_open(f"{model.folder}/raw/{shard:05d}", np.uint8).tobytes()), "<u4").reshape(4, -1)
+                a, b, c, n = np.cumsum(raw[0], dtype=np.int64), *raw[1:].astype(np.int64)
+                build_shard(f"{model.folder}/shard-{shard:05d}", a, b, c, n, files.counts, model.discounts)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32())})
 
     return run
 
@@ -352,13 +409,12 @@ def learn(texts: DataFrame, text_col: str = "text", shard_tokens: int = SHARD_TO
     """A model of all texts; its files go to the shared folder."""
     spark = texts.sparkSession
     rows = texts.select(text_of(text_col).alias("text"))
-    folder = local_path(scratch_path(spark, "ngrams"))
+    folder = scratch_path(spark, "ngrams")
     counted = map_arrow(rows, _count_words, "h bigint, n bigint, part int").groupBy("part", "h").agg(F.sum("n").alias("n"))
     by_part = counted.repartition(PARTS, "part").sortWithinPartitions("part")
-    parts = map_arrow(by_part, _write_vocabulary(folder), "part bigint, words bigint, total bigint, top array<bigint>, top_n array<bigint>").collect()
     model = Model(folder)
     sizes = np.zeros(PARTS, np.int64)
-    for p in parts:
+    for p in map_arrow(by_part, _write_vocabulary(folder), "part bigint, words bigint, total bigint").collect():
         sizes[p["part"]] = p["words"]
         model.total += p["total"]
     model.words = int(sizes.sum())
@@ -368,15 +424,36 @@ def learn(texts: DataFrame, text_col: str = "text", shard_tokens: int = SHARD_TO
     if model.words >= UNKNOWN:
         raise ValueError("ids have 32 bits")
     model.shards = max(1, -(-model.total // shard_tokens))
-    hot = {int(model.base[p["part"]] + w): n for p in parts for w, n in zip(p["top"], p["top_n"], strict=True) if 4 * n * model.shards > model.total}
-    model.hot = np.array(sorted(hot), np.int64) if model.shards > 1 else np.zeros(0, np.int64)
-    blocks = map_arrow(rows, _triples(model), "shard int, block binary").repartition(model.shards, "shard").sortWithinPartitions("shard")
-    kinds = map_arrow(blocks, _build(model), "word bigint, kinds bigint").groupBy("word").agg(F.sum("kinds").alias("kinds")).collect()
-    found = {r["word"]: r["kinds"] for r in kinds}
-    model.hot_weight = np.array([DISCOUNT * found.get(w, 0) / hot[w] for w in model.hot.tolist()])
+    hot: dict[int, int] = {}
+    if model.shards > 1:  # at most four a shard
+        hot = {r["word"]: r["n"] for r in map_arrow(spark.range(0, PARTS, 1, 8), _hot_words(model), "word bigint, n bigint").collect()}
+    model.hot = np.array(sorted(hot), np.int64)
+    blocks = map_arrow(rows, _triples(model), "shard int, block binary").repartitionById(model.shards, "shard").sortWithinPartitions("shard")
+    merged = map_arrow(blocks, _merge(model), "shard int, rare array<bigint>, hot array<bigint>, kinds array<bigint>").collect()
+    once2, twice2, once3, twice3 = np.sum([r["rare"] for r in merged], axis=0).tolist()
+    model.discounts = _discount(once2, twice2), _discount(once3, twice3)
+    kinds: dict[int, int] = {}
+    for r in merged:
+        for w, k in zip(r["hot"], r["kinds"], strict=True):
+            kinds[w] = kinds.get(w, 0) + k
+    model.hot_weight = np.array([model.discounts[0] * kinds.get(w, 0) / hot[w] for w in model.hot.tolist()])
+    shards = spark.createDataFrame([(r["shard"],) for r in merged], "shard int").repartitionById(len(merged), F.expr(f"shard % {len(merged)}"))
+    map_arrow(shards, _build(model), "shard int").collect()
+    delete(spark, f"{folder}/raw")
     return model
 
 
+def _by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each shard that occurs."""
+    if not len(shards):
+        return
+    order = np.argsort(shards, kind="stable")
+    sorted_ = shards[order]
+    cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shards)], strict=True):
+        yield int(sorted_[x]), order[x:y]
+
+
 def _score_batch(files: Files, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per token (ends before the first word have no meaning): its count, and log10 of its probability."""
     model = files.model
@@ -396,11 +473,8 @@ def _score_batch(files: Files, tokens: np.ndarray, at: np.ndarray) -> tuple[np.n
     ka, kb = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
     shard = model.shard_of(ka, kb)
     node, alpha, weight_a, weight = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.ones(len(keys)), np.ones(len(keys))
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(model.shards + 1))
-    for s in range(model.shards):
-        mine = order[cuts[s] : cuts[s + 1]]
-        trie = files.trie(s) if len(mine) else None
+    for s, mine in _by_shard(shard):
+        trie = files.trie(s)
         if trie is None:
             continue
         words, of = np.unique(ka[mine], return_inverse=True)
@@ -430,15 +504,11 @@ def _score_batch(files: Files, tokens: np.ndarray, at: np.ndarray) -> tuple[np.n
     keys, back = np.unique((before.astype(_U) << _U(32)) | c.astype(_U), return_inverse=True)
     kp, kc = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
     alpha = np.zeros(len(keys))
-    order = np.argsort(shard[kp], kind="stable")
-    cuts = np.searchsorted(shard[kp][order], np.arange(model.shards + 1))
-    for s in range(model.shards):
-        mine = order[cuts[s] : cuts[s + 1]]
-        if len(mine):
-            trie = files.trie(s)
-            found = trie.triples(node[kp[mine]], kc[mine])
-            hit = found >= 0
-            alpha[mine[hit]] = trie.value(trie.alpha3, found[hit])
+    for s, mine in _by_shard(shard[kp]):
+        trie = files.trie(s)
+        found = trie.triples(node[kp[mine]], kc[mine])
+        hit = found >= 0
+        alpha[mine[hit]] = trie.value(trie.alpha3, found[hit])
     p[place] += alpha[back]
     return counts, np.log10(p)
 
