@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, hot_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,23 +13,28 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each node links its neighbours to the least of them, first the
     larger ones, then the smaller ones, until all edges go to the least node of their component. The table never
-    grows, and takes a logarithmic number of rounds. Each round is written to the shared folder.
+    grows, and takes a logarithmic number of rounds. Each round is written to the shared folder. Nodes with very many
+    neighbours are met by broadcast, so their edges stay spread; after that, a node has no more lower neighbours than
+    it had to begin with.
     """
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = written(now, "components"), None
-    while True:
+    now = written(now, "components")
+    n = now.count()
+    while n:
         # every node's neighbours are linked to the least of them and itself
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.alias("e").join(least.alias("l"), F.col("e.u") == F.col("l.u")).where("e.v > e.u").select(F.col("e.v").alias("u"), F.col("l.m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("rows"))
+        large = hot_join(both, least, ["u"], 2 * n, "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct(), "components")
         # and then the neighbours below a node, with itself, to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pair = lambda u: F.struct(F.col(u).alias("u"), F.col("l.m").alias("v"))
-        small = large.alias("e").join(low.alias("l"), F.col("e.u") == F.col("l.u")).select(F.explode(F.array(pair("e.v"), pair("e.u"))).alias("e"))
-        now = written(small.select("e.*").where("u <> v").distinct(), "components")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before:
+        pair = lambda u: F.struct(F.col(u).alias("u"), F.col("m").alias("v"))
+        small = large.join(low, "u").select(F.explode(F.array(pair("v"), pair("u"))).alias("e"))
+        last, now = now, written(small.select("e.*").where("u <> v").distinct(), "components")
+        discard(last, large)
+        # at the end every node has one edge, to a node that has none
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        n, todo = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).agg(F.sum("up"), F.sum(F.when(F.col("up") + F.col("down") > 1, 1).otherwise(0))).first()
+        if not todo:
             break
-        before = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,25 +6,31 @@ the whole sequence is one shingle; without words the set is empty and links with
 
 1. Each text gets a sketch: in each of ``REGISTERS`` registers the least of exponentially distributed hash values of
    its shingles, kept as its exponent to the base ``BASE``, truncated. The registers of a union are the maxima, and two
-   registers are equal with about the probability of the Jaccard similarity.
+   registers are equal with about the probability of the Jaccard similarity. It also gets parity bits, 4 to 8 a shingle: bit h
+   tells whether an odd number of shingles hash to h. The bits in which two documents differ are never more than the
+   shingles that only one of them has, so these bits rule pairs out without ever ruling a link out.
 2. Documents with equal sets (by a 128-bit fingerprint) are one class; only its least id goes on.
 3. Registers are banded (``ROWS`` a band; a pair of similarity 0.8 shares none of the 32 bands with a probability
    of 3e-6). Within a band value each document is paired with the least id there: as many pairs as rows.
-4. Pairs whose sizes or jointly estimated similarity (maximum likelihood from the counts of larger, smaller and equal
-   registers and the set sizes) can't reach the threshold go; the estimate may be ``SLACK`` (five standard deviations) too low.
-   All others are confirmed on full sets.
+4. Pairs whose sizes, parity bits or jointly estimated similarity (maximum likelihood from the counts of larger, smaller and
+   equal registers and the set sizes) can't reach the threshold go; the estimate may be ``SLACK`` (over seven standard
+   deviations) too low. All others are confirmed on full sets.
 5. Components of the confirmed links. In band values that still hold several components, members outside the largest one
    are paired with a changing member of it, again as many pairs as rows; these rounds go on while they find links and
-   much is left. Then all documents of different components that share a band value are compared on their full
-   sets, so what was left out loses no link: within a component no comparison is needed. They are dealt in blocks of
-   about ``BLOCK`` documents, members outside the largest component against all; a block pair is one product
-   of 0/1 matrices, and only links leave it.
+   much is left.
+6. Then all documents of different components that share a band value are compared by their parity bits, in blocks of
+   about ``BLOCK`` documents, members outside the largest component against all. Of the pairs that may link, each block
+   gives the ``TRIES`` likeliest of each two components, to be confirmed on full sets; if those fail and there were more, this
+   is done again with more. So no link between components is lost, within a component no comparison is needed, and
+   what moves is a byte a shingle at most, not texts.
 
-Links, components and fingerprints stay distributed; every step is written to the shared folder.
+The texts of documents that share a band value are dealt out once, for all confirmations. Links, components and
+fingerprints stay distributed; every step is written to the shared folder. Classes, band values
+and components that hold a large share of all rows are met by broadcast (``hot_join``), so they fill no task.
 
 Defined cases: null or empty text has an empty set and stays alone; rows without id follow their class but don't
-link; repeated rows are in one class and all rows of the least id stay; an empty table gives an empty result; other
-columns are ignored.
+link; repeated rows are in one class and all rows of the least id stay; rows of one id with several texts link by each; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, hash_spans, map_arrow, mix64, slices, table, text_of, utf8_bytes, word_spans, written
+from .common import TO_LOWER, discard, hash_spans, hot_join, map_arrow, mix64, slices, table, text_of, utf8_bytes, word_spans, written
 from .components import components
 
-REGISTERS, ROWS, BASE, RATE, TOP, SLACK = 160, 5, 1.02, 20.0, 4_000, 0.16
+REGISTERS, ROWS, BASE, RATE, TOP, SLACK = 160, 5, 1.02, 20.0, 4_000, 0.24
 SIMILAR = 80
 #: Rounds of changing partners go on while all pairs that are left are more than so many times the rows, up to a number.
-LEFT, ROUNDS, BLOCK = 1, 8, 256
+LEFT, ROUNDS, BLOCK, TRIES = 4, 8, 256, 64
 _STEP = 512
 
 
@@ -86,6 +92,26 @@ def registers(values: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(-np.log1p(-np.minimum(share, 1 - 1e-16)) / RATE) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """The parity bits of a set of 64-bit hashes, packed in 64-bit words; their number is a power of two."""
+    bits = max(64, 1 << (4 * len(values) - 1).bit_length()) if len(values) else 64
+    odd = np.bincount((mix64(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits (rows of words, in the last axis) of fewer bits."""
+    while parity.shape[-1] > words:
+        half = parity.shape[-1] // 2
+        parity = parity[..., :half] ^ parity[..., half:]
+    return parity
+
+
+def may_link(differ: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sets of ``total`` elements together link if ``differ`` elements at least are in one of them only."""
+    return (100 + SIMILAR) * differ <= (100 - SIMILAR) * total
+
+
 def likely_similarity(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """The Jaccard similarity of the greatest joint likelihood, given in how many registers a's is larger or smaller."""
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
@@ -104,6 +130,9 @@ def likely_similarity(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray,
     return (low + high) / 2
 
 
+SKETCH = ["id", "n", "f1", "f2", "bands", "registers", "odd"]
+
+
 def _sketched(k: int):
     band = np.arange(REGISTERS // ROWS, dtype=np.uint64)
 
@@ -111,10 +140,10 @@ def _sketched(k: int):
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), k)
             n = len(sets)
-            kept, prints = np.zeros((n, REGISTERS), np.uint16), np.zeros((n, 2), np.uint64)
+            kept, prints, odd = np.zeros((n, REGISTERS), np.uint16), np.zeros((n, 2), np.uint64), [b""] * n
             for i, s in enumerate(sets):
                 if len(s):
-                    kept[i] = registers(s)
+                    kept[i], odd[i] = registers(s), parities(s).tobytes()
                     prints[i] = mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s + np.uint64(0x14057B7EF767814F)))
             keys = np.zeros((n, len(band)), np.uint64)
             for r in range(ROWS):
@@ -123,20 +152,24 @@ def _sketched(k: int):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(band), pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
             raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 2 * REGISTERS).astype(np.int32)), pa.py_buffer(kept.tobytes())])
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), lists, raw], ["id", "n", "f1", "f2", "bands", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), lists, raw, pa.array(odd, pa.binary())], SKETCH)
 
     return run
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose estimated similarity may reach the threshold."""
+    """Pairs that may reach the threshold, by their parity bits and by the estimate."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b = (np.frombuffer(utf8_bytes(batch.column(c))[0].tobytes(), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-        n_a, n_b = (np.asarray(batch.column(c)).astype(np.float64) for c in ("na", "nb"))
-        found = likely_similarity((a > b).sum(axis=1), (a < b).sum(axis=1), n_a, n_b)
-        yield batch.filter(pa.array(found >= SIMILAR / 100 - SLACK)).select(["a", "b"])
+        n_a, n_b = (np.asarray(batch.column(c)).astype(np.int64) for c in ("na", "nb"))
+        a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("oa", "ob"))
+        words = [min(len(x), len(y)) for x, y in zip(a, b, strict=True)]
+        differ = np.array([int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum()) for x, y, w in zip(a, b, words, strict=True)])
+        at = np.flatnonzero(may_link(differ, n_a + n_b))
+        a, b = (np.frombuffer(utf8_bytes(batch.column(c))[0].tobytes(), np.uint16).reshape(-1, REGISTERS)[at] for c in ("ra", "rb"))
+        found = likely_similarity((a > b).sum(axis=1), (a < b).sum(axis=1), n_a[at].astype(np.float64), n_b[at].astype(np.float64))
+        yield batch.take(pa.array(at[found >= SIMILAR / 100 - SLACK])).select(["a", "b"])
 
 
 def _confirmed(k: int):
@@ -151,156 +184,168 @@ def _confirmed(k: int):
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    kind = reps.schema["id"].dataType.simpleString()
-    narrow = reps.select("id", "n", "registers")
-    one, two = (narrow.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}")) for c in "ab")
-    sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
-    likely = written(map_arrow(sized.select("a", "b", "na", "nb", "ra", "rb"), _likely, f"a {kind}, b {kind}"), "near-likely")
+def _confirm(likely: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Those of the pairs (a, b), a written table, that link on full sets."""
+    kind = likely.schema["a"].dataType.simpleString()
     needed = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
     texts = written(texts.join(needed, "id", "left_semi"), "near-texts")
     one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     both = likely.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return written(map_arrow(both, _confirmed(k), f"a {kind}, b {kind}").distinct(), "near-links")
+    links = written(map_arrow(both, _confirmed(k), f"a {kind}, b {kind}").distinct(), "near-links")
+    discard(texts)
+    return links
 
 
-def _set_blobs(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), k)], pa.binary())], ["id", "blob"])
-
-    return run
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Those of the pairs (a, b) that link."""
+    kind = reps.schema["id"].dataType.simpleString()
+    names = {"id": "", "n": "n", "registers": "r", "odd": "o"}
+    one, two = (reps.select(*[F.col(x).alias(y + c) for x, y in names.items()]) for c in "ab")
+    sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
+    likely = written(map_arrow(sized.select("a", "b", "na", "nb", "ra", "rb", "oa", "ob"), _likely, f"a {kind}, b {kind}"), "near-likely")
+    links = _confirm(likely, texts, k)
+    discard(likely)
+    return links
 
 
-def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """The sizes of the intersections of all left with all right sets, by products of 0/1 matrices of ``width`` columns."""
-    lengths = [len(s) for s in (*left, *right)]
-    values = np.concatenate([*left, *right])
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.argsort(values, kind="stable")
-    values, rows = values[order], rows[order]
-    new = np.concatenate([[True], values[1:] != values[:-1]])
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
-    keep = shared[column]
-    column, rows = (np.cumsum(shared) - 1)[column[keep]], rows[keep]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        x, y = np.searchsorted(column, [a, a + width])
-        table_ = np.zeros((len(lengths), width), np.float32)
-        table_[rows[x:y], column[x:y] - a] = 1
-        out += table_[: len(left)] @ table_[len(left) :].T
-    return out.astype(np.int64)
-
-
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between components within blocks; rows are ordered by block."""
+def _block_pairs(tries: int):
+    """Pairs of documents of different components that may link, within blocks; rows are ordered by block."""
 
     def solve(block: pa.Table) -> pa.RecordBatch | None:
         side = np.asarray(block.column("side")) == 0
         if side.all() or not side.any():
             return None
-        parts = []
-        for part in (block.filter(pa.array(side)), block.filter(pa.array(~side))):
-            parts.append((part.column("id").combine_chunks(), np.asarray(part.column("component")), [np.frombuffer(b.as_buffer(), np.uint64) for b in part.column("blob")]))
-        (ids_a, comp_a, sets_a), (ids_b, comp_b, sets_b) = parts
-        common = common_counts(sets_a, sets_b)
-        total = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b])[None, :]
-        i, j = np.nonzero((100 * common >= SIMILAR * (total - common)) & (comp_a[:, None] != comp_b[None, :]))
-        if not len(i):
+        ids, component, n = block.column("id").combine_chunks(), np.asarray(block.column("component").combine_chunks().dictionary_encode().indices), np.asarray(block.column("n"))
+        bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("odd").combine_chunks()]
+        words = np.array([len(x) for x in bits])
+        mine, theirs = {}, {}
+        for w in np.unique(words).tolist():
+            for of, which in ((mine, side), (theirs, ~side)):
+                if len(rows := np.flatnonzero(which & (words == w))):
+                    of[w] = rows, np.stack([bits[r] for r in rows.tolist()])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for w, (rows, own) in mine.items():
+            for v in (w // 2, w, 2 * w):  # sizes of links are within a quarter
+                if v not in theirs:
+                    continue
+                others, other = theirs[v]
+                least = min(v, w)
+                one, two = folded(own, least), folded(other, least)
+                for k, r in enumerate(rows.tolist()):
+                    total = n[others] + n[r]
+                    differ = np.bitwise_count(two ^ one[k]).sum(axis=1, dtype=np.int64)
+                    hit = np.flatnonzero(may_link(differ, total) & (component[others] != component[r]))
+                    if len(hit):
+                        found.append((np.full(len(hit), r), others[hit], differ[hit] / total[hit]))
+        if not found:
             return None
-        return pa.RecordBatch.from_arrays([ids_a.take(pa.array(i)), ids_b.take(pa.array(j))], ["a", "b"])
+        a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
+        low, high = np.minimum(component[a], component[b]), np.maximum(component[a], component[b])
+        order = np.lexsort((far, high, low))
+        a, b, low, high = a[order], b[order], low[order], high[order]
+        new = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        sizes = np.diff(np.append(new, len(a)))
+        rank = np.arange(len(a)) - np.repeat(new, sizes)
+        keep = np.flatnonzero(rank < tries)
+        more = np.repeat(sizes > tries, sizes)[keep]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a[keep])), ids.take(pa.array(b[keep])), pa.array(more)], ["a", "b", "more"])
 
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = pa.Table.from_batches([batch])
-        held = block if held is None else pa.concat_tables([held, block])
-        keys = np.stack([np.asarray(held.column(c)) for c in ("band", "mine", "theirs")])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        begin = 0
-        for cut in cuts.tolist():
-            found = solve(held.slice(begin, cut - begin))
-            if found is not None:
-                yield found
-            begin = cut
-        held = held.slice(begin)
-    if held is not None:
-        found = solve(held)
-        if found is not None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = pa.Table.from_batches([batch])
+            held = block if held is None else pa.concat_tables([held, block])
+            keys = np.stack([np.asarray(held.column(c)) for c in ("band", "mine", "theirs")])
+            begin = 0
+            for cut in (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist():
+                if (found := solve(held.slice(begin, cut - begin))) is not None:
+                    yield found
+                begin = cut
+            held = held.slice(begin)
+        if held is not None and (found := solve(held)) is not None:
             yield found
 
+    return run
+
 
-def _cross_links(placed: DataFrame, mixed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """All links between documents of different components that share a band value."""
-    kind = placed.schema["id"].dataType.simpleString()
-    rows = written(placed.join(mixed.select("band", "major", "n", "most"), "band"), "near-placed")
-    # band values that share documents hold much the same ones: where that is no more work, they are one cluster,
-    # and each document's set is dealt out once for all of them
-    clusters = written(components(rows.select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "component_"), "near-clusters")
-    rows = rows.join(clusters, F.col("id") == F.col("node"), "left").withColumn("cluster", F.coalesce("component_", "id"))
-    rows = written(rows.select("band", "id", "component", "major", "n", "most", "cluster"), "near-clustered")
-    apart = rows.groupBy("cluster", "band").agg(F.max((F.col("n") - F.col("most")) * F.col("n")).alias("work")).groupBy("cluster").agg(F.sum("work").alias("apart"))
-    inside = rows.select("cluster", "id", "component").distinct()
-    parts = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.max_by("component", "m").alias("c_major"), F.sum("m").alias("c_n"), F.max("m").alias("c_most"))
-    whole = written(parts.join(apart, "cluster").where((F.col("c_n") - F.col("c_most")) * F.col("c_n") <= F.col("apart")).drop("apart"), "near-whole")
-    together = inside.join(whole, "cluster").select(F.xxhash64("cluster").alias("band"), "id", "component", F.col("c_major").alias("major"), F.col("c_n").alias("n"), F.col("c_most").alias("most"))
-    rows = written(rows.join(whole.select("cluster"), "cluster", "left_anti").select("band", "id", "component", "major", "n", "most").union(together), "near-dealt")
-    sets = written(map_arrow(texts.join(rows.select("id").distinct(), "id", "left_semi"), _set_blobs(k), f"id {kind}, blob binary"), "near-sets")
-    n_mine, n_theirs = F.ceil((F.col("n") - F.col("most")) / BLOCK), F.ceil(F.col("n") / BLOCK)
+def _cross_pairs(placed: DataFrame, mixed: DataFrame, n_rows: int, reps: DataFrame, tries: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a band value and may link, the likeliest ``tries`` of each two
+    components in a block; more: there are others."""
+    kind = reps.schema["id"].dataType.simpleString()
+    rows = hot_join(placed.select("band", "id", "component"), mixed.select("band", "major", F.col("n").alias("size"), "most", F.col("n").alias("rows")), ["band"], n_rows, "inner")
+    n_mine, n_theirs = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("size") / BLOCK)
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
     mine = rows.where("component <> major").select("band", "id", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), n_mine).alias("mine"), spread(n_theirs).alias("theirs"))
     theirs = rows.select("band", "id", "component", F.lit(1).alias("side"), spread(n_mine).alias("mine"), F.pmod(F.xxhash64("id"), n_theirs).alias("theirs"))
-    blocks = mine.unionByName(theirs).join(sets, "id").repartition("band", "mine", "theirs").sortWithinPartitions("band", "mine", "theirs")
-    found = map_arrow(blocks, _block_links, f"a {kind}, b {kind}")
-    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+    dealt = mine.unionByName(theirs).join(reps.select("id", "n", "odd"), "id").select("band", "mine", "theirs", "side", "id", "component", "n", "odd")
+    blocks = dealt.repartition("band", "mine", "theirs").sortWithinPartitions("band", "mine", "theirs")
+    found = map_arrow(blocks, _block_pairs(tries), f"a {kind}, b {kind}, more boolean")
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more")
+    return written(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "near-cross")
 
 
 def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = written(map_arrow(texts, _sketched(k), f"id {kind}, n bigint, f1 bigint, f2 bigint, bands array<bigint>, registers binary"), "near-sketches")
-    classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    members = written(rows.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "near-members")
-    copies = members.where("id <> rep").select("id").distinct()
-    reps = rows.where("n > 0 and id is not null").join(copies, "id", "left_anti")
-
-    bands = reps.select("id", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
-    together = written(bands.join(shared, "band"), "near-bands")
-    reps = written(reps.join(together.select("id").distinct(), "id", "left_semi").select("id", "n", "registers"), "near-registers")
-    links = _links(together.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), reps, texts, k)
+    rows = written(map_arrow(texts, _sketched(k), f"id {kind}, n bigint, f1 bigint, f2 bigint, bands array<bigint>, registers binary, odd binary"), "near-sketches")
+    n_docs, key = rows.count(), ["f1", "f2", "n"]
+    classes = rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    classes = written(classes, "near-classes")
+    copies = hot_join(rows.where("n > 0").select("id", *key), classes, key, n_docs, "inner").where("id <> rep").select("id", *key).distinct()
+    banded = rows.where("n > 0 and id is not null").select("id", *key, "bands").join(copies, ["id", *key], "left_anti").select("id", "n", "bands").distinct()
+
+    bands = banded.select("id", "n", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("last"), F.count(F.lit(1)).alias("rows"))
+    shared = written(shared.where("least.id <> last").select("band", F.col("least.id").alias("first"), F.col("least.n").alias("first_n"), "rows"), "near-shared")
+    together = written(hot_join(bands, shared, ["band"], n_docs * (REGISTERS // ROWS), "inner").select("band", "id", "n", "first", "first_n"), "near-bands")
+    reps = written(rows.select("id", "n", "registers", "odd").join(together.select("id").distinct(), "id", "left_semi"), "near-registers")
+    # all texts move once, and only those that share a band value are read again
+    texts = written(texts.join(together.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "near-shared-texts")
+    stars = together.where("id <> first").where(100 * F.least("n", "first_n") >= SIMILAR * F.greatest("n", "first_n")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    links = _links(stars, reps, texts, k)
     found = written(components(links), "near-components")
 
     # what is in one band value but in several components
-    n_rows, round_ = together.count(), 0
-    while True:
-        placed = together.join(found, together["id"] == found["node"], "left").select("band", "id", "first", F.coalesce("component", "id").alias("component"))
-        key = F.struct(F.xxhash64("id", F.lit(round_)).alias("k"), F.col("id").alias("id"))
-        parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("drawn"))
+    n_rows, round_, asking = together.count(), 0, True
+
+    def split() -> tuple[DataFrame, DataFrame, int]:
+        placed = together.join(found, together["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+        drawn = F.struct(F.xxhash64("id", F.lit(round_)).alias("k"), F.col("id").alias("id"))
+        parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("drawn"))
         mixed = parts.groupBy("band").agg(F.max_by(F.struct("component", "drawn"), "n").alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most"))
         mixed = written(mixed.where("kinds > 1 and n > 2").select("band", "n", "most", F.col("major.component").alias("major"), F.col("major.drawn.id").alias("drawn")), "near-mixed")
-        pairs = mixed.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
-        if pairs <= LEFT * n_rows or round_ == ROUNDS:
+        return placed, mixed, mixed.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
+
+    while True:
+        placed, mixed, pairs = split()
+        if pairs <= LEFT * n_rows or round_ == ROUNDS or not asking:
             break
-        minor = placed.join(mixed, "band").where("component <> major")
+        minor = hot_join(placed.select("band", "id", "component"), mixed.select("band", "major", "drawn", F.col("n").alias("rows")), ["band"], n_rows, "inner").where("component <> major")
         minor = written(minor.select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")).distinct(), "near-drawn")
         more, tried = _links(minor, reps, texts, k), minor.count()
         links, n_more = links.union(more), more.count()
         found = written(components(links), "near-components") if n_more else found
-        round_ += 1
-        if 20 * n_more < tried:
+        discard(minor, mixed)
+        round_, asking = round_ + 1, 20 * n_more >= tried
+    tries = TRIES
+    while pairs:
+        cross = _cross_pairs(placed, mixed, n_rows, reps, tries)
+        links = links.union(_confirm(cross.select("a", "b"), texts, k))
+        found = written(components(links), "near-components")
+        # two components of which the likeliest pairs don't link, but there were others
+        one, two = (found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        apart = cross.where("more").join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        if apart.isEmpty():
             break
-    if pairs:
-        more = _cross_links(placed, mixed, texts, k)
-        if not more.isEmpty():
-            found = written(components(links.union(more)), "near-components")
+        placed, mixed, pairs = split()
+        tries *= 8
 
-    joined = members.join(found, members["rep"] == found["node"], "left")
-    component = F.coalesce("component", "rep")
+    classes = classes.join(found, classes["rep"] == found["node"], "left").select(*key, F.coalesce("component", "rep").alias("whole"), "rows")
+    joined = hot_join(rows.select("id", *key), classes, key, n_docs).join(found, F.col("id") == F.col("node"), "left")
+    component = F.coalesce("whole", "component", "id")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
