@@ -5,19 +5,28 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+#: The zeros before every so many words are noted too.
+_NOTED = 16
+
+
+def _places() -> np.ndarray:
+    """(byte, rank): the position of the set bit number ``rank`` of a byte."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    return np.argsort(1 - bits, axis=1, kind="stable").astype(np.int64)
+
+
+_PLACES = _places()
 
 
 def _select_in_word(words: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The position of the set bit number ``ranks`` (from 0) in each word."""
-    words, ranks = words.copy(), ranks.astype(np.int64)
-    at = np.zeros(len(words), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(words & _U((1 << width) - 1)).astype(np.int64)
-        up = ranks >= low
-        ranks -= np.where(up, low, 0)
-        words >>= np.where(up, width, 0).astype(_U)
-        at += np.where(up, width, 0)
-    return at
+    bytes_ = np.ascontiguousarray(words).view(np.uint8)
+    # byte k of a product with ones is the number of bits up to it
+    upto = (np.bitwise_count(bytes_).view(_U) * _U(0x0101010101010101)).view(np.uint8).reshape(-1, 8)
+    k = np.minimum((upto <= ranks[:, None].astype(np.uint8)).sum(axis=1), 7)
+    at = np.arange(len(words)) * 8 + k
+    before = np.where(k > 0, upto.reshape(-1)[at - 1], 0)
+    return k * 8 + _PLACES[bytes_[at], np.clip(ranks - before, 0, 7)]
 
 
 class EliasFano:
@@ -25,12 +34,13 @@ class EliasFano:
 
     def __init__(self, flat: np.ndarray) -> None:
         flat = np.asarray(flat).view(np.ndarray)
-        self.n, self.low_bits, high, low, cum = (int(x) for x in flat[:5])
-        at = 5
+        self.n, self.low_bits, high, low, cum, noted = (int(x) for x in flat[:6])
+        at = 6
         self.high, at = flat[at : at + high], at + high
         self.low, at = flat[at : at + low], at + low
-        self.ones = flat[at : at + cum].view(np.uint32)[: high + 1]
-        self.size = at + cum
+        self.ones, at = flat[at : at + cum].view(np.uint32)[: high + 1], at + cum
+        self.noted = flat[at : at + noted].view(np.uint32)[: high // _NOTED + 1]
+        self.size = at + noted
 
     @staticmethod
     def pack(values: np.ndarray, universe: int) -> np.ndarray:
@@ -52,8 +62,9 @@ class EliasFano:
             over = np.flatnonzero((offset & 63) + bits > 64)
             low[word[over] + 1] += tails[over] >> (_U(64) - shift[over])
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype(np.uint32)
-        ones = np.concatenate([ones, np.zeros(len(ones) % 2, np.uint32)]).view(_U)
-        return np.concatenate([np.array([n, bits, len(high), len(low), len(ones)], _U), high, low, ones])
+        noted = (np.arange(0, len(high) + 1, _NOTED) * 64 - ones[::_NOTED].astype(np.int64)).astype(np.uint32)
+        ones, noted = (np.concatenate([x, np.zeros(len(x) % 2, np.uint32)]).view(_U) for x in (ones, noted))
+        return np.concatenate([np.array([n, bits, len(high), len(low), len(ones), len(noted)], _U), high, low, ones, noted])
 
     def _tails(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -76,15 +87,13 @@ class EliasFano:
     def _begin(self, tops: np.ndarray) -> np.ndarray:
         """The first place whose high part is at least ``tops``: behind the zero of the part before."""
         k = np.maximum(tops - 1, 0)
-        # the word of the zero number k: at most n ones are before it
-        low, high = k >> 6, np.minimum(((k + self.n) >> 6) + 1, len(self.high))
-        live = np.flatnonzero(low < high)
-        while len(live):
-            mid = (low[live] + high[live] + 1) >> 1
-            up = mid * 64 - self.ones[mid] <= k[live]
-            low[live] = np.where(up, mid, low[live])
-            high[live] = np.where(up, high[live], mid - 1)
-            live = live[low[live] < high[live]]
+        # the word of the zero number k: from the noted words, by halving
+        low = (np.searchsorted(self.noted, k.astype(np.uint32), side="right") - 1) * _NOTED
+        step = _NOTED >> 1
+        while step:
+            mid = np.minimum(low + step, len(self.high))
+            low = np.where(mid * 64 - self.ones[mid] <= k, mid, low)
+            step >>= 1
         at = low * 64 + _select_in_word(~self.high[low], k - (low * 64 - self.ones[low]))
         return np.where(tops > 0, at - k, 0)
 
