@@ -148,7 +148,7 @@ def _keeping(rows: DataFrame, spec: Spec, algebra: Algebra) -> DataFrame:
             return picked(None, columns)
         group = F.xxhash64(F.lit("disjunct"), *by, *spec.args)
         own = F.xxhash64(F.lit("disjunct"), *by, *columns)
-        rows = rows.withColumn(TAG, algebra.times(F.col(TAG), algebra.given(weight, own, group)))
+        rows = rows.withColumn(TAG, algebra.times(F.col(TAG), algebra.given(F.lit(1.0), own, group)))
         return picked(None, columns)
     if op == "enumerate":
         return picked(F.row_number().over(Window.partitionBy(*by).orderBy(*_order(columns))) - 1, columns)

@@ -186,14 +186,16 @@ def _scheduled(evaluator: Evaluator, g: Growing, fresh: DataFrame | None, column
     waiting = written(waiting.groupBy(*columns).agg(*keys), "waiting")
     weight = algebra.weight(F.col(TAG)) if algebra.type else F.lit(1.0)
     if options.scheduler == "beam":
-        chosen = waiting.orderBy(weight.desc(), *columns).limit(options.beam)
-    else:
-        key = F.col("__seq") if options.scheduler == "dfs" else weight
-        most = waiting.agg(F.max(key)).first()[0]  # one number
-        chosen = waiting.where(key == F.lit(most))
-    chosen = written(chosen, "chosen")
-    if chosen.isEmpty():
+        chosen = written(waiting.orderBy(weight.desc(), *columns).limit(options.beam), "chosen")
+        if chosen.isEmpty():
+            g.pending = None
+            return None
+        g.pending = waiting.join(chosen.select(*columns), columns, "left_anti")
+        return chosen.drop("__seq")
+    key = F.col("__seq") if options.scheduler == "dfs" else weight
+    most = waiting.agg(F.max(key)).first()[0]  # one number
+    if most is None:
         g.pending = None
         return None
-    g.pending = waiting.join(chosen.select(*columns), columns, "left_anti")
-    return chosen.drop("__seq")
+    g.pending = waiting.where(key != F.lit(most))
+    return waiting.where(key == F.lit(most)).drop("__seq")

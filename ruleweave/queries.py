@@ -63,8 +63,10 @@ CUSTOMER = {"customer": "customer: c_custkey; c_nationkey; c_mktsegment; c_acctb
 SUPPLIER = {"supplier": "supplier: s_suppkey; s_nationkey; s_acctbal"}
 ORDERS = {"orders": "orders: o_orderkey; o_custkey; o_orderstatus; o_totalprice; o_orderpriority"}
 PART = {"part": "part: p_partkey; p_brand; p_type; p_size; p_retailprice"}
-EDGES = {"edge": "supplier: cast(s_suppkey % 40 as int); cast((s_suppkey * 7 + 3) % 40 as int)"}
-EDGES_SQL = "edge AS (SELECT DISTINCT CAST(s_suppkey % 40 AS INTEGER) AS a, CAST((s_suppkey * 7 + 3) % 40 AS INTEGER) AS b FROM supplier)"
+#: A node for each supplier; edges go to half of its number, and those at the root make a ring.
+HALF = "cast(if(s_suppkey <= 1, 6, s_suppkey div 2) as int)"
+EDGES = {"edge": f"supplier: cast(s_suppkey as int); {HALF}"}
+EDGES_SQL = "edge AS (SELECT CAST(s_suppkey AS INTEGER) AS a, CAST(CASE WHEN s_suppkey <= 1 THEN 6 ELSE s_suppkey // 2 END AS INTEGER) AS b FROM supplier)"
 TREE = {"edge": "nation: n_regionkey; n_nationkey + 5"}
 #: An acyclic graph with a weight on each edge.
 DAG = {"edge": "nation: n_nationkey; n_nationkey + 1 + n_regionkey % 2; tag=(0.5 + n_regionkey * 0.1D)"}
@@ -146,43 +148,89 @@ query("closure_cyclic", EDGES, "rel out(x, y) = edge(x, y)\nrel out(x, y) = out(
 query("mutual_recursion", NATION, "rel even(0)\nrel even(y) = odd(x), y == x + 1, y < 12\nrel odd(y) = even(x), y == x + 1, y < 12\nrel out(k, n) = even(k), nation(k, n, _)", "nationkey name", "SELECT n_nationkey AS nationkey, n_name AS name FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey < 12")
 query("fib_demand", {}, 'rel fib = {(0, 1), (1, 1)}\n@demand("bf")\nrel fib(x, a + b) = fib(x - 1, a), fib(x - 2, b), x > 1\nrel out(y) = fib(8, y)', "value", "SELECT 34 AS value")
 query("path_demand", EDGES, '@demand("bf")\nrel path(x, y) = edge(x, y) or (path(x, z) and edge(z, y))\nrel out(y) = path(3, y)', "reached", f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT b FROM edge WHERE a = 3 UNION SELECT e.b FROM r JOIN edge e ON r.b = e.a) SELECT b AS reached FROM r")
-query("goal_stop", EDGES, "rel reach(y) = edge(0, y) or (reach(x) and edge(x, y))\n@goal\nrel goal(y) = reach(y), y < 40\nrel out(b) = b := exists(y: goal(y))", "reached", "SELECT true AS reached")
+query("goal_stop", EDGES, "rel reach(y) = edge(1, y) or (reach(x) and edge(x, y))\n@goal\nrel goal(y) = reach(y), y < 40\nrel out(b) = b := exists(y: goal(y))", "reached", "SELECT true AS reached")
 query("iter_limit", EDGES, "rel out(x, y) = edge(x, y) or (out(x, z) and edge(z, y))", "one two", f"WITH {EDGES_SQL} SELECT a AS one, b AS two FROM edge UNION SELECT x.a, y.b FROM edge x JOIN edge y ON x.b = y.a", limit=1)
 query("scheduler_dfs", TREE, "rel reach(0)\nrel reach(y) = reach(x), edge(x, y)\nrel out(x) = reach(x)", "node", "SELECT 0 AS node UNION SELECT n_nationkey + 5 FROM nation WHERE n_regionkey = 0", scheduler="dfs")
-query("stratified_negation", EDGES, "rel reach(y) = edge(0, y) or (reach(x) and edge(x, y))\nrel node(x) = edge(x, _) or edge(_, x)\nrel out(x) = node(x), not reach(x)", "node", f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT b FROM edge WHERE a = 0 UNION SELECT e.b FROM r JOIN edge e ON r.b = e.a) SELECT a AS node FROM (SELECT a FROM edge UNION SELECT b FROM edge) EXCEPT SELECT b FROM r")
+query("stratified_negation", EDGES, "rel reach(y) = edge(1, y) or (reach(x) and edge(x, y))\nrel node(x) = edge(x, _) or edge(_, x)\nrel out(x) = node(x), not reach(x)", "node", f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT b FROM edge WHERE a = 1 UNION SELECT e.b FROM r JOIN edge e ON r.b = e.a) SELECT a AS node FROM (SELECT a FROM edge UNION SELECT b FROM edge) EXCEPT SELECT b FROM r")
 query("recursion_count", EDGES, "rel path(x, y) = edge(x, y) or (path(x, z) and edge(z, y))\nrel out(x, n) = n := count(y: path(x, y))", "node reached", f"WITH RECURSIVE {EDGES_SQL}, path AS (SELECT a, b FROM edge UNION SELECT p.a, e.b FROM path p JOIN edge e ON p.b = e.a) SELECT a AS node, count(*) AS reached FROM path GROUP BY a")
 
 # tags
 
 query("boolean_reach", {"edge": "nation: n_nationkey; n_nationkey + 1; tag=cast(n_regionkey < 4 as int)"}, "rel out(y) = edge(0, y) or (out(x) and edge(x, y))", "node", "WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey + 1 AS b FROM nation WHERE n_regionkey < 4), r AS (SELECT b FROM e WHERE a = 0 UNION SELECT e.b FROM r JOIN e ON r.b = e.a) SELECT b AS node, true AS tag FROM r", "boolean")
-query("shortest_hops_tropical", {"edge": "supplier: cast(s_suppkey % 40 as int); cast((s_suppkey * 7 + 3) % 40 as int); tag=1"}, "rel out(x, y) = edge(x, y) or (out(x, z) and edge(z, y))", "one two", f"WITH RECURSIVE {EDGES_SQL}, path AS (SELECT a, b, 1 AS n FROM edge UNION SELECT p.a, e.b, n + 1 FROM path p JOIN edge e ON p.b = e.a WHERE n < 40) SELECT a AS one, b AS two, CAST(min(n) AS BIGINT) AS tag FROM path GROUP BY a, b", "tropical")
+query("shortest_hops_tropical", {"edge": f"supplier: cast(s_suppkey as int); {HALF}; tag=1"}, "rel out(x, y) = edge(x, y) or (out(x, z) and edge(z, y))", "one two", f"WITH RECURSIVE {EDGES_SQL}, path AS (SELECT a, b, 1 AS n FROM edge UNION SELECT p.a, e.b, n + 1 FROM path p JOIN edge e ON p.b = e.a WHERE n < 40) SELECT a AS one, b AS two, CAST(min(n) AS BIGINT) AS tag FROM path GROUP BY a, b", "tropical")
 query("count_paths_natural", {"edge": "nation: n_nationkey % 5; n_nationkey % 7 + 10; tag=1"}, "rel hop(y, z) = edge(x, y), edge(w, y), z == x + w\nrel out(y) = hop(y, _)", "node", "WITH e AS (SELECT DISTINCT n_nationkey % 5 AS a, n_nationkey % 7 + 10 AS b, 1 AS w FROM nation), c AS (SELECT n_nationkey % 5 AS a, n_nationkey % 7 + 10 AS b, count(*) AS w FROM nation GROUP BY ALL) SELECT x.b AS node, CAST(sum(x.w * y.w) AS BIGINT) AS tag FROM c x JOIN c y ON x.b = y.b GROUP BY x.b", "natural")
 query("widest_path_minmax", DAG, "rel out(x, y) = edge(x, y) or (out(x, z) and edge(z, y))", "one two", f"WITH RECURSIVE {DAG_SQL}, path AS (SELECT a, b, p FROM edge UNION SELECT q.a, e.b, least(q.p, e.p) FROM path q JOIN edge e ON q.b = e.a) SELECT a AS one, b AS two, round(max(p), 6) AS tag FROM path GROUP BY a, b", "minmaxprob", digits=6)
 query("most_probable_path", DAG, "rel out(x, y) = edge(x, y) or (out(x, z) and edge(z, y))", "one two", f"WITH RECURSIVE {DAG_SQL}, path AS (SELECT a, b, p FROM edge UNION ALL SELECT q.a, e.b, q.p * e.p FROM path q JOIN edge e ON q.b = e.a) SELECT a AS one, b AS two, round(max(p), 6) AS tag FROM path GROUP BY a, b", "maxmultprob", digits=6)
 query("noisy_add_mult", {"edge": "nation: n_nationkey % 5; n_nationkey % 7 + 10; tag=0.05D"}, "rel out(x, z) = edge(x, y), edge(w, y), z == w", "one two", "WITH e AS (SELECT n_nationkey % 5 AS a, n_nationkey % 7 + 10 AS b, least(sum(CAST(0.05 AS DOUBLE)), 1.0) AS p FROM nation GROUP BY ALL) SELECT x.a AS one, y.a AS two, round(least(sum(x.p * y.p), 1.0), 6) AS tag FROM e x JOIN e y ON x.b = y.b GROUP BY ALL", "addmultprob", digits=6)
 query("negation_prob", {"item": "supplier: s_nationkey; tag=0.9D", "bad": "nation: n_nationkey; tag=(n_regionkey / 10D)"}, "rel out(n) = item(n), not bad(n)", "nationkey", "SELECT DISTINCT s_nationkey AS nationkey, round(least(CAST(0.9 AS DOUBLE), 1 - n_regionkey / CAST(10 AS DOUBLE)), 6) AS tag FROM supplier JOIN nation ON s_nationkey = n_nationkey", "minmaxprob", digits=6)
 query("nand_mult", {"item": "supplier: s_nationkey; s_suppkey; tag=0.1D"}, "rel out(n) = item(n, _)", "nationkey", "SELECT s_nationkey AS nationkey, round(1 - pow(0.9, count(*)), 6) AS tag FROM supplier GROUP BY s_nationkey", "nandmultprob", digits=6)
-query("tagged_rule", {"item": "part: p_partkey; p_size"}, "rel 1.0 / (n as f64)::out(k) = item(k, n), k < 100", "partkey", "SELECT p_partkey AS partkey, round(1.0 / CAST(p_size AS DOUBLE), 6) AS tag FROM part WHERE p_partkey < 100", "minmaxprob", digits=6)
+query("tagged_rule", {"item": "part: p_partkey; p_size"}, "rel 1.0 / (n as f64)::out(k) = item(k, n)", "partkey", "SELECT p_partkey AS partkey, round(1.0 / CAST(p_size AS DOUBLE), 6) AS tag FROM part", "minmaxprob", digits=6)
 query("soft_count", {"item": "nation: n_regionkey; n_nationkey; tag=0.5D"}, "rel out(r, c) = c := count(n: item(r, n))", "regionkey n", "WITH g AS (SELECT n_regionkey AS r, count(*) AS m FROM nation GROUP BY n_regionkey) SELECT r AS regionkey, k AS n, round(CAST(factorial(CAST(m AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(k AS INTEGER)) * factorial(CAST(m - k AS INTEGER)) AS DOUBLE) * pow(0.5, m), 6) AS tag FROM (SELECT r, m, unnest(range(0, m + 1)) AS k FROM g)", "addmultprob", digits=6)
 query("soft_exists", {"item": "nation: n_regionkey; n_nationkey; tag=(n_nationkey / 100D)"}, "rel out(r, b) = b := exists(n: item(r, n))", "regionkey found", "SELECT n_regionkey AS regionkey, found, round(CASE WHEN found THEN max(n_nationkey / CAST(100 AS DOUBLE)) ELSE 1 - max(n_nationkey / CAST(100 AS DOUBLE)) END, 6) AS tag FROM nation, (VALUES (true), (false)) AS t(found) GROUP BY n_regionkey, found", "minmaxprob", digits=6)
-query("soft_compare", {"item": "nation: n_nationkey; cast(n_regionkey as double)"}, "rel out(a, b) = item(a, x), item(b, y), a < 5, b < 5, soft_gt(x, y)", "one two", "SELECT a.n_nationkey AS one, b.n_nationkey AS two, round(1 / (1 + exp(-(CAST(a.n_regionkey AS DOUBLE) - b.n_regionkey))), 6) AS tag FROM nation a, nation b WHERE a.n_nationkey < 5 AND b.n_nationkey < 5", "addmultprob", digits=6)
+query("soft_compare", {"item": "nation: n_nationkey; cast(n_regionkey as double)"}, "rel out(a, b) = item(a, x), item(b, y), soft_gt(x, y)", "one two", "SELECT a.n_nationkey AS one, b.n_nationkey AS two, round(1 / (1 + exp(-(CAST(a.n_regionkey AS DOUBLE) - b.n_regionkey))), 6) AS tag FROM nation a, nation b", "addmultprob", digits=6)
 query("topk_proofs_wmc", {"edge": "nation: n_regionkey; n_nationkey % 3 + 10; tag=0.5D", "last": "region: r_regionkey + 10; tag=0.5D"}, "rel out(x) = edge(x, y), last(y)", "node", None, "topkproofs", digits=6)
 query("proofs_sets", {"edge": "region: r_regionkey; r_regionkey + 1"}, "rel out(x, y) = edge(x, y) or (out(x, z) and edge(z, y))", "one two", None, "proofs")
 query("diff_prob", {"edge": "region: r_regionkey; r_regionkey + 1; tag=0.5D"}, "rel out(x, z) = edge(x, y), edge(y, z)", "one two", None, "difftopkproofs")
 query("dual_numbers", {"edge": "region: r_regionkey; r_regionkey + 1; tag=0.5D"}, "rel out(x, z) = edge(x, y), edge(y, z)", "one two", None, "diffaddmultprob")
 
+# tags beside these: schedulers, exclusive and outside tags, negation of proofs, derivatives, soft comparisons and aggregates
+
+REACHED = "WITH RECURSIVE {}, path AS (SELECT b, p FROM edge WHERE a = 0 UNION ALL SELECT e.b, least(q.p, e.p) FROM path q JOIN edge e ON q.b = e.a) SELECT b AS node, round(max(p), 6) AS tag FROM path GROUP BY b".format(DAG_SQL)
+query("scheduler_a_star", DAG, "rel out(y) = edge(0, y) or (out(x) and edge(x, y))", "node", REACHED, "minmaxprob", digits=6, scheduler="a-star")
+query("scheduler_beam", DAG, "rel out(y) = edge(0, y) or (out(x) and edge(x, y))", "node", REACHED, "minmaxprob", digits=6, scheduler="beam", beam=4)
+query("real_tropical", {"edge": "nation: n_nationkey % 5; n_nationkey % 7 + 10; tag=((n_nationkey + 1) / 30D)"}, "rel out(x) = edge(x, _)", "node", "SELECT n_nationkey % 5 AS node, round(min(-ln((n_nationkey + 1) / CAST(30 AS DOUBLE))), 6) AS tag FROM nation GROUP BY n_nationkey % 5", "realtropical", digits=6)
+query("exclusive_facts", NATION, "rel lamp = {0.3::1; 0.6::2}\nrel out(r) = region(r, _), lamp(_)", "regionkey", "SELECT r_regionkey AS regionkey, CAST(0.9 AS DOUBLE) AS tag FROM region", "topkproofs", digits=6)
+query("disjunct", {"item": "supplier: s_nationkey; s_suppkey; tag=0.0001D"}, "rel one(n, s) = s := disjunct(s: item(n, s))\nrel out(n) = one(n, _)", "nationkey", "SELECT s_nationkey AS nationkey, round(CAST(0.0001 AS DOUBLE) * count(*), 6) AS tag FROM supplier GROUP BY s_nationkey", "probproofs", digits=6)
+query("proofs_negated", {"item": "nation: n_regionkey; n_nationkey; tag=((n_nationkey + 1) / 50D)"} | NATION, "rel some(r) = item(r, _)\nrel out(r) = region(r, _), not some(r)", "regionkey", "SELECT n_regionkey AS regionkey, round(product(1 - p), 6) AS tag FROM (SELECT n_regionkey, (n_nationkey + 1) / CAST(50 AS DOUBLE) AS p FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY p DESC) <= 3) GROUP BY n_regionkey", "topbottomkclauses", digits=6)
+
+
+@python("rule_tags", "SELECT r_regionkey AS regionkey, round(CAST(0.2 AS DOUBLE) * r_regionkey / 10, 6) AS tag FROM region")
+def rule_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule whose probability comes from outside."""
+    p = load(Program(spark, "maxmultprob"), sf_dir, {"region": "region: r_regionkey; tag=(r_regionkey / 10D)"})
+    return p.add("@tagged\nrel out(r) = region(r)").tag_rule("out", 0.2).relation("out", ["regionkey"]).withColumn("tag", F.round("tag", 6))
+
+
+@python("dual_number_parts", "SELECT n_regionkey AS regionkey, round(1 - product(1 - (n_nationkey + 1) / CAST(100 AS DOUBLE)), 6) AS p, count(*) AS facts, round(sum(g), 6) AS slope FROM (SELECT *, product(1 - (n_nationkey + 1) / CAST(100 AS DOUBLE)) OVER (PARTITION BY n_regionkey) / (1 - (n_nationkey + 1) / CAST(100 AS DOUBLE)) AS g FROM nation) GROUP BY n_regionkey")
+def dual_number_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of alternatives with their derivatives by each fact."""
+    p = load(Program(spark, "diffnandmultprob"), sf_dir, {"item": "nation: n_regionkey; n_nationkey; tag=((n_nationkey + 1) / 100D)"}).add("rel out(r) = item(r, _)")
+    slopes = F.map_values("tag.gradient")
+    return p.relation("out", ["regionkey"]).select("regionkey", F.round("tag.p", 6).alias("p"), F.size(slopes).cast("bigint").alias("facts"), F.round(F.aggregate(slopes, F.lit(0.0), lambda a, x: a + x), 6).alias("slope"))
+
+
+@python("soft_sigmoids", "SELECT a.n_nationkey AS one, b.n_nationkey AS two, round(atan(2.0 * (a.n_regionkey - b.n_regionkey)) / pi() + 0.5, 6) AS tag FROM nation a, nation b")
+def soft_sigmoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(Program(spark, "addmultprob"), sf_dir, {"item": "nation: n_nationkey; cast(n_regionkey as double)"}).soft_comparison("cauchy", beta=2.0)
+    return p.add("rel out(a, b) = item(a, x), item(b, y), soft_gt(x, y)").relation("out", ["one", "two"]).withColumn("tag", F.round("tag", 6))
+
+
+REGIONS = {"item": "nation: n_nationkey; cast(n_regionkey as double)"}
+query("soft_eq", REGIONS, "rel out(a, b) = item(a, x), item(b, y), soft_eq(x, y)", "one two", "SELECT a.n_nationkey AS one, b.n_nationkey AS two, round(1 / cosh((a.n_regionkey - b.n_regionkey) / CAST(2 AS DOUBLE)), 6) AS tag FROM nation a, nation b", "addmultprob", digits=6)
+query("soft_neq", REGIONS, "rel out(a, b) = item(a, x), item(b, y), soft_neq(x, y)", "one two", "SELECT a.n_nationkey AS one, b.n_nationkey AS two, round(1 - 1 / cosh((a.n_regionkey - b.n_regionkey) / CAST(2 AS DOUBLE)), 6) AS tag FROM nation a, nation b", "addmultprob", digits=6)
+query("soft_lt", REGIONS, "rel out(a, b) = item(a, x), item(b, y), soft_lt(x, y)", "one two", "SELECT a.n_nationkey AS one, b.n_nationkey AS two, round(1 / (1 + exp(CAST(a.n_regionkey AS DOUBLE) - b.n_regionkey)), 6) AS tag FROM nation a, nation b", "addmultprob", digits=6)
+query("new_tag_variable", NATION, "rel out(r) = region(r, _), new_tag_variable()", "regionkey", "SELECT r_regionkey AS regionkey, CAST(1.0 AS DOUBLE) AS tag FROM region", "topkproofs", digits=6)
+CHANCE = "CAST((s_suppkey * 37 % 101) / CAST(202 AS DOUBLE) AS DOUBLE)"
+CHANCES = {"item": "supplier: s_nationkey; s_suppkey; cast(s_suppkey % 5 as int); tag=((s_suppkey * 37 % 101) / 202D)"}
+query("soft_exists_product", CHANCES, "rel out(n, b) = b := exists(s: item(n, s, _))", "nationkey found", f"WITH g AS (SELECT s_nationkey AS n, product(1 - {CHANCE}) AS q FROM supplier GROUP BY s_nationkey) SELECT n AS nationkey, true AS found, round(1 - q, 6) AS tag FROM g UNION ALL SELECT n, false, round(q, 6) FROM g", "nandmultprob", digits=6)
+query("soft_min", CHANCES, "rel out(n, v) = v := min(v: item(n, _, v))", "nationkey least", f"WITH g AS (SELECT s_nationkey AS n, CAST(s_suppkey % 5 AS INTEGER) AS v, max({CHANCE}) AS p FROM supplier GROUP BY ALL) SELECT n AS nationkey, v AS least, round(p * coalesce(product(1 - p) OVER (PARTITION BY n ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0), 6) AS tag FROM g", "maxmultprob", digits=6)
+query("soft_argmax", CHANCES, "rel out(n, s) = s := argmax[s](v: item(n, s, v))", "nationkey suppkey", f"WITH g AS (SELECT s_nationkey AS n, s_suppkey % 5 AS v, min(1 - {CHANCE}) AS q FROM supplier GROUP BY ALL), h AS (SELECT n, v, coalesce(min(q) OVER (PARTITION BY n ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS before FROM g) SELECT s_nationkey AS nationkey, s_suppkey AS suppkey, round(least(before, {CHANCE}), 6) AS tag FROM supplier JOIN h ON n = s_nationkey AND v = s_suppkey % 5", "minmaxprob", digits=6)
+query("soft_count_minmax", CHANCES, "rel out(n, c) = c := count(s: item(n, s, _))", "nationkey n", f"WITH g AS (SELECT s_nationkey AS n, {CHANCE} AS p, row_number() OVER (PARTITION BY s_nationkey ORDER BY {CHANCE} DESC) AS k, count(*) OVER (PARTITION BY s_nationkey) AS m FROM supplier), c AS (SELECT n, m, unnest(range(0, m + 1)) AS k FROM (SELECT DISTINCT n, m FROM g)) SELECT c.n AS nationkey, c.k AS n, round(least(coalesce(a.p, 1.0), 1 - coalesce(b.p, 0.0)), 6) AS tag FROM c LEFT JOIN g a ON a.n = c.n AND a.k = c.k LEFT JOIN g b ON b.n = c.n AND b.k = c.k + 1", "minmaxprob", digits=6)
+query("soft_sum", {"item": "nation: n_regionkey; n_nationkey; cast(2 as int); tag=0.5D"}, "rel out(r, t) = t := sum[n](v: item(r, n, v))", "regionkey total", "WITH g AS (SELECT n_regionkey AS r, count(*) AS m FROM nation GROUP BY n_regionkey) SELECT r AS regionkey, CAST(2 * k AS INTEGER) AS total, round(CAST(factorial(CAST(m AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(k AS INTEGER)) * factorial(CAST(m - k AS INTEGER)) AS DOUBLE) * pow(0.5, m), 6) AS tag FROM (SELECT r, m, unnest(range(0, m + 1)) AS k FROM g)", "addmultprob", digits=6)
+query("soft_prod", {"item": "nation: n_regionkey; n_nationkey; cast(3 as int); tag=0.5D"}, "rel out(r, t) = t := prod[n](v: item(r, n, v))", "regionkey product", "WITH g AS (SELECT n_regionkey AS r, count(*) AS m FROM nation GROUP BY n_regionkey) SELECT r AS regionkey, CAST(pow(3, k) AS INTEGER) AS product, round(CAST(factorial(CAST(m AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(k AS INTEGER)) * factorial(CAST(m - k AS INTEGER)) AS DOUBLE) * pow(0.5, m), 6) AS tag FROM (SELECT r, m, unnest(range(0, m + 1)) AS k FROM g)", "addmultprob", digits=6)
+query("soft_avg", {"item": "nation: n_regionkey; n_nationkey; 6.0D; tag=0.5D"}, "rel out(r, t) = t := avg[n](v: item(r, n, v))", "regionkey mean", "SELECT n_regionkey AS regionkey, CAST(6.0 AS DOUBLE) AS mean, CAST(0.5 AS DOUBLE) AS tag FROM nation GROUP BY n_regionkey", "minmaxprob", digits=6)
+
 # functions
 
-DOC = {"doc": "documents: doc_id; substring(text, 1, 60)"}
-T60 = "substring(text, 1, 60)"
-query("str_length", {"doc": "documents: doc_id; text"}, "rel out(k, $string_length(t)) = doc(k, t)", "doc_id bytes", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
-query("str_case", DOC, "rel out(k, $string_upper(t), $string_lower(t)) = doc(k, t)", "doc_id up low", f"SELECT doc_id, translate({T60}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up, translate({T60}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents")
+DOC = {"doc": "documents: doc_id; text"}
+query("str_length", DOC, "rel out(k, $string_length(t)) = doc(k, t)", "doc_id bytes", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+query("str_case", DOC, "rel out(k, $string_upper(t), $string_lower(t)) = doc(k, t)", "doc_id up low", f"SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents")
 query("str_concat_format", NATION, 'rel out($string_concat(n, "-", r), $format("{}: {} ({})", k, n, r)) = nation(k, n, g), region(g, r)', "joined shown", "SELECT n_name || '-' || r_name AS joined, n_nationkey || ': ' || n_name || ' (' || r_name || ')' AS shown FROM nation JOIN region ON n_regionkey = r_regionkey")
 query("str_plus", NATION, 'rel out(n + "/" + r) = nation(_, n, g), region(g, r)', "joined", "SELECT n_name || '/' || r_name AS joined FROM nation JOIN region ON n_regionkey = r_regionkey")
 query("str_substring", NATION, "rel out(n, $substring(n, 1, 3), $substring(n, 2)) = nation(_, n, _)", "name middle rest", "SELECT n_name AS name, substring(n_name, 2, 2) AS middle, substring(n_name, 3) AS rest FROM nation")
 query("str_index_of", NATION, 'rel out(n, $string_index_of(n, "1")) = nation(_, n, _)', "name place", "SELECT n_name AS name, CAST(strpos(n_name, '1') - 1 AS BIGINT) AS place FROM nation WHERE strpos(n_name, '1') > 0")
-query("str_char_at", DOC, "rel out(k, $string_char_at(t, 5)) = doc(k, t)", "doc_id letter", f"SELECT doc_id, substring({T60}, 6, 1) AS letter FROM documents WHERE length({T60}) > 5")
-query("str_replace_trim", DOC, 'rel out(k, $string_replace(t, "th", "TH"), $string_trim("  x ")) = doc(k, t)', "doc_id changed trimmed", f"SELECT doc_id, replace({T60}, 'th', 'TH') AS changed, 'x' AS trimmed FROM documents")
+query("str_char_at", DOC, "rel out(k, $string_char_at(t, 5)) = doc(k, t)", "doc_id letter", f"SELECT doc_id, substring(text, 6, 1) AS letter FROM documents WHERE length(text) > 5")
+query("str_replace_trim", DOC, 'rel out(k, $string_replace(t, "th", "TH"), $string_trim("  x ")) = doc(k, t)', "doc_id changed trimmed", f"SELECT doc_id, replace(text, 'th', 'TH') AS changed, 'x' AS trimmed FROM documents")
 query("math_round_abs", CUSTOMER, "rel out(c, $abs(b), $floor(b), $ceil(b), $sign(b)) = customer(c, _, _, b)", "custkey size low high sign", "SELECT c_custkey AS custkey, abs(c_acctbal) AS size, CAST(floor(c_acctbal) AS DOUBLE) AS low, CAST(ceil(c_acctbal) AS DOUBLE) AS high, CAST(sign(c_acctbal) AS INTEGER) AS sign FROM customer")
 query("math_log_partial", CUSTOMER, "rel out(c, $log(b), $log2(b)) = customer(c, _, _, b)", "custkey ln lb", "SELECT c_custkey AS custkey, round(ln(c_acctbal), 9) AS ln, round(log2(c_acctbal), 9) AS lb FROM customer WHERE c_acctbal > 0", digits=9)
 query("math_exp_trig", {"item": "part: p_partkey; cast(p_size as double)"}, "rel out(k, $exp(0.0 - x), $exp2(x / 10.0), $sin(x), $cos(x), $tan(x), $atan(x), $atan2(x, 2.0)) = item(k, x)", "partkey e e2 s c t a a2", "SELECT p_partkey AS partkey, round(exp(-p_size::DOUBLE), 9) AS e, round(pow(2.0, p_size::DOUBLE / 10.0), 9) AS e2, round(sin(p_size), 9) AS s, round(cos(p_size), 9) AS c, round(tan(p_size), 9) AS t, round(atan(p_size), 9) AS a, round(atan2(p_size, 2.0), 9) AS a2 FROM part", digits=9)
@@ -195,16 +243,16 @@ query("cast_wrap", PART, "rel out(k, (s * 100) as i8, s as f64, s as String) = p
 query("div_nan_drop", {"item": "part: p_partkey; cast(p_size % 3 as double); cast(p_size % 2 as double)"}, "rel out(k, a / b) = item(k, a, b)", "partkey ratio", "SELECT p_partkey AS partkey, CASE WHEN p_size % 2 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(p_size % 3 AS DOUBLE) END AS ratio FROM part WHERE NOT (p_size % 2 = 0 AND p_size % 3 = 0)")
 query("saturating_add", {"item": "part: p_partkey; p_size"}, "rel out(k, s + 2147483600, 0 - 2147483647 - s, s - 3, s / 4, s % 4) = item(k, s)", "partkey high low less part rest", "SELECT p_partkey AS partkey, CAST(least(CAST(p_size AS BIGINT) + 2147483600, 2147483647) AS INTEGER) AS high, CAST(greatest(-2147483647 - CAST(p_size AS BIGINT), -2147483648) AS INTEGER) AS low, p_size - 3 AS less, p_size // 4 AS part, p_size % 4 AS rest FROM part")
 query("logic_ops", PART, "rel out(k, s > 10 && p > 1000.0, s > 10 || p > 1000.0, (s > 10) ^ (p > 1000.0), !(s > 10)) = part(k, _, _, s, p)", "partkey both either one neither", "SELECT p_partkey AS partkey, p_size > 10 AND p_retailprice > 1000 AS both, p_size > 10 OR p_retailprice > 1000 AS either, (p_size > 10) <> (p_retailprice > 1000) AS one, NOT p_size > 10 AS neither FROM part")
-query("hash_function", NATION, "rel h(k, $hash(n, r)) = nation(k, n, r)\nrel out(c) = c := count(v: h(_, v))", "n", "SELECT count(*) AS n FROM nation")
+query("hash_function", NATION, "rel h(k, $hash(r, 7)) = nation(k, _, r)\nrel out(a, b) = h(a, x), h(b, x), a < b", "one two", "SELECT a.n_nationkey AS one, b.n_nationkey AS two FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 
 # table functions
 
 query("range_tvf", NATION, "rel out(k, i) = nation(k, _, r), range(r, r + 3, i)", "nationkey i", "SELECT n_nationkey AS nationkey, unnest(range(n_regionkey, n_regionkey + 3))::INTEGER AS i FROM nation")
 query("range_in", NATION, "rel out(k, i) = nation(k, _, r), i in 2..=r", "nationkey i", "SELECT n_nationkey AS nationkey, CAST(unnest(range(2, n_regionkey + 1)) AS INTEGER) AS i FROM nation")
 query("string_chars_tvf", NATION, "rel out(n, i, c) = nation(_, n, _), string_chars(n, i, c)", "name place letter", "SELECT n_name AS name, i - 1 AS place, substring(n_name, CAST(i AS INTEGER), 1) AS letter FROM (SELECT n_name, unnest(range(1, length(n_name) + 1)) AS i FROM nation)")
-query("string_split_tvf", DOC, 'rel out(k, w) = doc(k, t), string_split(t, " ", w)', "doc_id word", f"SELECT DISTINCT doc_id, unnest(string_split({T60}, ' ')) AS word FROM documents")
+query("string_split_tvf", DOC, 'rel out(k, w) = doc(k, t), string_split(t, " ", w)', "doc_id word", f"SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS word FROM documents")
 query("string_find_tvf", NATION, 'rel out(n, b, e) = nation(_, n, _), string_find(n, "N", b, e)', "name first last", "SELECT n_name AS name, i - 1 AS first, i AS last FROM (SELECT n_name, unnest(range(1, length(n_name) + 1)) AS i FROM nation) WHERE substring(n_name, CAST(i AS INTEGER), 1) = 'N'")
-query("string_index_tvf", NATION, "rel out(n, i) = nation(_, n, 0), string_index(n, i)", "name place", "SELECT n_name AS name, unnest(range(0, strlen(n_name))) AS place FROM nation WHERE n_regionkey = 0")
+query("string_index_tvf", NATION, "rel out(n, i) = nation(_, n, _), string_index(n, i)", "name place", "SELECT n_name AS name, unnest(range(0, strlen(n_name))) AS place FROM nation")
 query("datetime_ymd_tvf", {"o": "orders: o_orderkey; o_orderdate"}, "rel out(k, y, m) = o(k, d), datetime_ymd(d, y, m, 1)", "orderkey y m", "SELECT o_orderkey AS orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, month(o_orderdate) AS m FROM orders WHERE day(o_orderdate) = 1")
 query("float_eq", {"a": "part: p_partkey; p_retailprice"}, "rel out(k) = a(k, p), float_eq(p, 1000.0)", "partkey", "SELECT p_partkey AS partkey FROM part WHERE abs(p_retailprice - 1000) < 0.001")
 
@@ -214,6 +262,9 @@ query("adt_eval", NATION, "type Expr = Leaf(i32) | Plus(Expr, Expr) | Times(Expr
 query("adt_new", NATION, "type Box = Empty() | Full(String, i32)\nrel box(new Full(n, k)) = nation(k, n, r), r == 2\nrel out(n, k) = box(b), case b is Full(n, k)", "name nationkey", "SELECT n_name AS name, n_nationkey AS nationkey FROM nation WHERE n_regionkey = 2")
 
 
+query("parse_entity", {"told": "part: p_partkey; concat('Tie(Knot(', p_size, '), Tie(Knot(1), Knot(', p_partkey % 7, ')))')"}, "type Rope = Knot(i32) | Tie(Rope, Rope)\nrel rope(k, $parse_entity(t)) = told(k, t)\nrel load(r, n) = case r is Knot(n)\nrel load(r, a + b) = case r is Tie(x, y) and load(x, a) and load(y, b)\nrel out(k, n) = rope(k, r), load(r, n)", "partkey total", "SELECT p_partkey AS partkey, CAST(p_size + 1 + p_partkey % 7 AS INTEGER) AS total FROM part")
+query("tensor_shape", {"vec": "embeddings: vec_id; array(transform(embedding, x -> cast(x as double)))"}, "rel out(k, $dim(v), d, n) = vec(k, v), tensor_shape(v, d, n)", "vec_id dims dim size", "SELECT vec_id, 2 AS dims, d AS dim, CASE WHEN d = 0 THEN 1 ELSE len(embedding) END AS size FROM embeddings, (VALUES (0), (1)) AS t(d)")
+
 # sources, extensions and the rest
 
 @python("csv_roundtrip", "SELECT n_nationkey AS nationkey, n_name AS name, n_regionkey AS regionkey FROM nation")
