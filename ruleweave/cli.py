@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .program import Program, ProgramError
+from .storage import clean
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -46,6 +47,7 @@ def main(arguments: list[str] | None = None) -> None:
                     program.add(line)
             except ProgramError as error:
                 print(error)
+        clean(spark)
         return
     program.add_file(a.file)
     program.run(a.iter_limit, "lfp" if a.scheduler == "bfs" else a.scheduler, a.beam_size, a.stop_at_goal)
@@ -58,6 +60,7 @@ def main(arguments: list[str] | None = None) -> None:
             print(program.explain(name))
             continue
         (program.query(name) if atom else program.relation(name)).show(a.rows, truncate=False)
+    clean(spark)
 
 
 if __name__ == "__main__":

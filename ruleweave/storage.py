@@ -41,7 +41,12 @@ def ship(spark: SparkSession) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/ruleweave/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/ruleweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application wrote below the shared folder; results that still read it are gone too."""
+    delete(spark, f"{shared_dir(spark)}/ruleweave/{spark.sparkContext.applicationId}")
 
 
 def delete(spark: SparkSession, path: str) -> None:
