@@ -9,7 +9,7 @@ from .common import discard, hot_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of all nodes of an undirected edge table (a, b); the component is its least node.
+    """(node, component) of all nodes of an undirected edge table (a, b), written; the component is its least node.
 
     Alternates large-star and small-star steps: each node links its neighbours to the least of them, first the
     larger ones, then the smaller ones, until all edges go to the least node of their component. The table never
@@ -37,4 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         n, todo = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).agg(F.sum("up"), F.sum(F.when(F.col("up") + F.col("down") > 1, 1).otherwise(0))).first()
         if not todo:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    found = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    discard(now)
+    return found

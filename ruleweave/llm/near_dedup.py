@@ -301,12 +301,13 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     shared = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("last"), F.count(F.lit(1)).alias("rows"))
     shared = written(shared.where("least.id <> last").select("band", F.col("least.id").alias("first"), F.col("least.n").alias("first_n"), "rows"), "near-shared")
     together = written(hot_join(bands, shared, ["band"], n_docs * (REGISTERS // ROWS), "inner").select("band", "id", "n", "first", "first_n"), "near-bands")
+    discard(shared)
     reps = written(rows.select("id", "n", "registers", "odd").join(together.select("id").distinct(), "id", "left_semi"), "near-registers")
     # all texts move once, and only those that share a band value are read again
     texts = written(texts.join(together.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "near-shared-texts")
     stars = together.where("id <> first").where(100 * F.least("n", "first_n") >= SIMILAR * F.greatest("n", "first_n")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = _links(stars, reps, texts, k)
-    found = written(components(links), "near-components")
+    found = components(links)
 
     # what is in one band value but in several components
     n_rows, round_, asking = together.count(), 0, True
@@ -327,14 +328,14 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
         minor = written(minor.select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")).distinct(), "near-drawn")
         more, tried = _links(minor, reps, texts, k), minor.count()
         links, n_more = links.union(more), more.count()
-        found = written(components(links), "near-components") if n_more else found
+        found = components(links) if n_more else found
         discard(minor, mixed)
         round_, asking = round_ + 1, 20 * n_more >= tried
     tries = TRIES
     while pairs:
         cross = _cross_pairs(placed, mixed, n_rows, reps, tries)
         links = links.union(_confirm(cross.select("a", "b"), texts, k))
-        found = written(components(links), "near-components")
+        found = components(links)
         # two components of which the likeliest pairs don't link, but there were others
         one, two = (found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
         apart = cross.where("more").join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
@@ -342,6 +343,7 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
             break
         placed, mixed, pairs = split()
         tries *= 8
+    discard(together, reps, texts)
 
     classes = classes.join(found, classes["rep"] == found["node"], "left").select(*key, F.coalesce("component", "rep").alias("whole"), "rows")
     joined = hot_join(rows.select("id", *key), classes, key, n_docs).join(found, F.col("id") == F.col("node"), "left")
