@@ -598,15 +598,24 @@ def test_repeated_passages_twice_in_a_text_and_in_quotes(spark):
     assert not {d for d, *_ in got} & {0, 1, 2, 10, 20}
 
 
-def test_frequent_seeds_change_nothing(spark, monkeypatch):
-    """The same rows whether seeds are met by sorting or by aggregates."""
-    rng = np.random.default_rng(13)
-    line = [f"l{j}" for j in range(70)]
-    df = spark.createDataFrame([(k, " ".join([*(f"a{x}" for x in rng.integers(0, 10**9, 30)), *line, *(f"b{x}" for x in rng.integers(0, 10**9, 30))])) for k in range(30)], "doc_id long, text string")
-    rows = lambda: sorted(map(tuple, substring_dedup.repeated_passages(df).collect()))
-    with_aggregates = rows()
-    monkeypatch.setattr(substring_dedup, "frequent_seeds", lambda seeds: [])
-    assert rows() == with_aggregates and len(with_aggregates) == 29
+@pytest.mark.parametrize("partitions", [1, 3, 7, 40])
+def test_elections_across_partitions(spark, partitions):
+    """Each occurrence meets the first of its hash, however few hashes there are for the partitions."""
+    rng = np.random.default_rng(partitions)
+    rows = [(int(h), int(i), int(p)) for h, i, p in zip(rng.choice([1, 2, 2, 2, 2, 2, 2, 3, *range(10, 60)], 900), rng.integers(0, 300, 900), range(900), strict=True)]
+    rows += [(5, 77, p) for p in range(400)] + [(6, 78, p) for p in range(3)]
+    by_hash = defaultdict(list)
+    for h, i, p in rows:
+        by_hash[h].append((i, p))
+    want = [(h, min(own)[0], i, min(own)[1], p) for h, own in by_hash.items() if len({i for i, _ in own}) > 1 for i, p in own]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = substring_dedup.elected(spark.createDataFrame(rows, "h long, id long, pos int").repartition(5), "bigint", "test").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_chains_prefer_collinear_matches():
