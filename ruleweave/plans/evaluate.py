@@ -614,7 +614,7 @@ class Evaluator:
         if rule.tag is not None:
             value, kind = self.expr(rule.tag, table.types, "f64")
             if kind not in NUMBERS | {"bool"}:
-                raise ProgramError(f"A value of type `{kind}` cannot be casted into a dynamic tag")
+                raise ProgramError(f"a tag is a number or a bool, not {kind}")
             fact = F.xxhash64(F.lit(str(rule.head)), *names)
             tag = self.algebra.times(tag, self.algebra.given(value, fact, F.lit(None).cast("bigint")))
         if rule.choice is not None and self.algebra.proofs:
