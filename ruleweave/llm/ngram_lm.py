@@ -49,7 +49,7 @@ from ..storage import delete
 from .common import TO_LOWER, hash_spans, map_arrow, mix64, scratch_path, slices, store, table, text_of, utf8_bytes, word_spans
 from .elias_fano import EliasFano
 
-PARTS, SHARD_TOKENS, BATCH, BOOK, OPEN = 64, 2_000_000, 4 << 20, 4_096, 512
+PARTS, SHARD_TOKENS, BATCH, BOOK, OPEN = 64, 2_000_000, 3 << 20, 4_096, 512
 END = np.int64(0x0E0D)
 NONE, UNKNOWN = 0xFFFFFFFF, 0xFFFFFFFE
 DISCOUNT = 0.75
@@ -103,6 +103,12 @@ def _open(path: str, kind: type) -> np.ndarray | None:
         return np.frombuffer(f.read_buffer(), kind)
 
 
+def _remove(path: str) -> None:
+    files, name = store(path)
+    if files.get_file_info(name).type != pa.fs.FileType.NotFound:
+        files.delete_file(name)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """The rows of each key, of batches that are ordered by it."""
     held: list[pa.RecordBatch] = []
@@ -397,9 +403,14 @@ def _build(model: Model):
         files, unzip = Files.get(model), zstandard.ZstdDecompressor()
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                raw = np.frombuffer(unzip.decompress(_open(f"{model.folder}/raw/{shard:05d}", np.uint8).tobytes()), "<u4").reshape(4, -1)
-                a, b, c, n = np.cumsum(raw[0], dtype=np.int64), *raw[1:].astype(np.int64)
-                build_shard(f"{model.folder}/shard-{shard:05d}", a, b, c, n, files.counts, model.discounts)
+                packed, final = _open(f"{model.folder}/raw/{shard:05d}", np.uint8), f"{model.folder}/shard-{shard:05d}"
+                if packed is not None:
+                    raw = np.frombuffer(unzip.decompress(packed.tobytes()), "<u4").reshape(4, -1)
+                    a, b, c, n = np.cumsum(raw[0], dtype=np.int64), *raw[1:].astype(np.int64)
+                    build_shard(final, a, b, c, n, files.counts, model.discounts)
+                    _remove(f"{model.folder}/raw/{shard:05d}")
+                elif _open(final, _U) is None:  # else an attempt before this one was done
+                    raise FileNotFoundError(final)
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32())})
 
     return run
