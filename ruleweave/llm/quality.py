@@ -5,8 +5,9 @@ repeats). The others are measured, and each measure goes into a mergeable quanti
 counts in exponentially spaced buckets, so a quantile has a relative error of at most ``ALPHA``, merging is adding
 counts, and reruns agree. Thresholds are upper fences: third quartile + ``SPREAD`` times the interquartile range +
 a tolerance per measure, so that a group without outliers rejects nothing, and up to a quarter of junk in a group
-doesn't move its fence far. Groups of under ``LEAST`` documents use the merged sketch of their language, and small
-languages that of everything. Documents are then filtered by a join with the thresholds on language and source.
+doesn't move its fence far. The threshold of a group of n documents is its own fence with weight n and that of its language
+with weight ``STEADY``, and likewise a language's with that of everything; so small groups lean on what is known of larger ones,
+without a step at any size. Documents are then filtered by a join with the thresholds on language and source.
 
 Nothing is ordered or gathered by group but the sketches (some hundred buckets each), so a hot source costs no more
 than others.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, table, text_of, word_array, written
 
-ALPHA, SPREAD, LEAST = 0.01, 3.0, 100
+ALPHA, SPREAD, STEADY = 0.01, 3.0, 100
 _GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Per measure: what it divides, by what, and the tolerance above the fence.
 MEASURES = {
@@ -106,20 +107,24 @@ def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     return quartiles.groupBy(*by).agg(F.max("size").alias("size"), *[F.max(F.when(F.col("measure") == m, fence)).alias(m) for m in MEASURES])
 
 
-def thresholds(sketch: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per language and source, with fences from its own, its language's or all documents."""
+def thresholds(sketch: DataFrame, steady: int = STEADY) -> DataFrame:
+    """One row per language and source, with fences from its own, its language's and all documents."""
     own, language = _fences(sketch, ["g0", "g1"]).alias("o"), _fences(sketch, ["g0"]).alias("l")
     joined = own.join(language, F.col("o.g0").eqNullSafe(F.col("l.g0")))
     everything = _fences(sketch, []).first()  # one row: a number per measure
-    pick = lambda m: F.when(F.col("o.size") >= least, F.col(f"o.{m}")).when(F.col("l.size") >= least, F.col(f"l.{m}")).otherwise(F.lit(everything[m]).cast("double"))
+
+    def leaned(own: Column, size: Column, on: Column) -> Column:
+        return (size * own + F.lit(steady) * on) / (size + F.lit(steady))
+
+    pick = lambda m: leaned(F.col(f"o.{m}"), F.col("o.size"), leaned(F.col(f"l.{m}"), F.col("l.size"), F.lit(everything[m]).cast("double")))
     return joined.select("o.g0", "o.g1", *[pick(m).alias(f"most_{m}") for m in MEASURES])
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), least: int = LEAST) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), steady: int = STEADY) -> DataFrame:
     """One row per document: id, the counts, base_failed, kept, the measures and their thresholds."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = written(_counted(docs, id_col, text_col, group_cols).withColumn("base_failed", base), "quality-counts")
-    limits = written(thresholds(written(sketches(rows), "quality-sketches"), least), "quality-thresholds")
+    limits = written(thresholds(written(sketches(rows), "quality-sketches"), steady), "quality-thresholds")
     joined = rows.alias("r").join(limits.alias("t"), F.col("r.g0").eqNullSafe(F.col("t.g0")) & F.col("r.g1").eqNullSafe(F.col("t.g1")), "left")
     within = F.lit(True)
     for m in MEASURES:
@@ -165,7 +170,7 @@ def _op2_sql() -> str:
                  CASE WHEN bucket = -9999 THEN 0.0 ELSE 2.0 * pow({_GAMMA!r}::DOUBLE, bucket) / {_GAMMA + 1!r}::DOUBLE END AS value
           FROM (SELECT {keys}measure, bucket, sum(n) AS n FROM sketch GROUP BY {keys}measure, bucket)) GROUP BY {keys}measure) GROUP BY {by or '()'})"""
 
-    pick = {m: f"CASE WHEN o.size >= {LEAST} THEN o.{m} WHEN l.size >= {LEAST} THEN l.{m} ELSE a.{m} END" for m in MEASURES}
+    pick = {m: f"((o.size * o.{m} + {STEADY} * ((l.size * l.{m} + {STEADY} * a.{m}) / (l.size + {STEADY}))) / (o.size + {STEADY}))" for m in MEASURES}
     within = " AND ".join(f"coalesce({ratio[m]} <= {pick[m]}, TRUE)" for m in MEASURES)
     return rf"""
 WITH w AS (
