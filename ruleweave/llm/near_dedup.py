@@ -19,7 +19,7 @@ the whole sequence is one shingle; without words the set is empty and links with
    are paired with a changing member of it, again as many pairs as rows; these rounds go on while they find links and
    much is left.
 6. Then all documents of different components that share a band value are compared by their parity bits, in blocks of
-   about ``BLOCK`` documents, members outside the largest component against all. Of the pairs that may link, each block
+   about ``BLOCK`` documents on each side (fewer if they are long), members outside the largest component against all. Of the pairs that may link, each block
    gives the ``TRIES`` likeliest of each two components, to be confirmed on full sets; if those fail and there were more, this
    is done again with more. So no link between components is lost, within a component no comparison is needed, and
    what moves is a byte a shingle at most, not texts.
@@ -48,7 +48,9 @@ from .components import components
 REGISTERS, ROWS, BASE, RATE, TOP, SLACK = 160, 5, 1.02, 20.0, 4_000, 0.24
 SIMILAR = 80
 #: Rounds of changing partners go on while all pairs that are left are more than so many times the rows, up to a number.
-LEFT, ROUNDS, BLOCK, TRIES = 4, 8, 256, 64
+LEFT, ROUNDS, BLOCK, TRIES = 4, 8, 2_048, 64
+#: A document counts once in a block, and once more for each so many shingles.
+HEAVY = 4_096
 _STEP = 512
 
 
@@ -274,12 +276,16 @@ def _cross_pairs(placed: DataFrame, mixed: DataFrame, n_rows: int, reps: DataFra
     """Pairs (a, b) of different components that share a band value and may link, the likeliest ``tries`` of each two
     components in a block; more: there are others."""
     kind = reps.schema["id"].dataType.simpleString()
-    rows = hot_join(placed.select("band", "id", "component"), mixed.select("band", "major", F.col("n").alias("size"), "most", F.col("n").alias("rows")), ["band"], n_rows, "inner")
-    n_mine, n_theirs = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("size") / BLOCK)
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    mine = rows.where("component <> major").select("band", "id", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), n_mine).alias("mine"), spread(n_theirs).alias("theirs"))
-    theirs = rows.select("band", "id", "component", F.lit(1).alias("side"), spread(n_mine).alias("mine"), F.pmod(F.xxhash64("id"), n_theirs).alias("theirs"))
-    dealt = mine.unionByName(theirs).join(reps.select("id", "n", "odd"), "id").select("band", "mine", "theirs", "side", "id", "component", "n", "odd")
+    rows = hot_join(placed.select("band", "id", "component"), mixed.select("band", "major", F.col("n").alias("rows"), "weight", "minor_weight"), ["band"], n_rows, "inner")
+    # bits are met once a row; only after that is a row dealt to its blocks
+    rows = rows.join(reps.select("id", "n", "odd"), "id")
+    n_mine, n_theirs = F.ceil(F.col("minor_weight") / BLOCK), F.ceil(F.col("weight") / BLOCK)
+    own = lambda n: F.array(F.pmod(F.xxhash64("id"), n))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    places = lambda side, mine, theirs: F.transform(mine, lambda m: F.transform(theirs, lambda t: F.struct(F.lit(side).alias("side"), m.alias("mine"), t.alias("theirs"))))
+    mine, theirs = F.flatten(places(0, own(n_mine), every(n_theirs))), F.flatten(places(1, every(n_mine), own(n_theirs)))
+    dealt = rows.select("band", "id", "component", "n", "odd", F.explode(F.when(F.col("component") != F.col("major"), F.concat(mine, theirs)).otherwise(theirs)).alias("at"))
+    dealt = dealt.select("band", "at.mine", "at.theirs", "at.side", "id", "component", "n", "odd")
     blocks = dealt.repartition("band", "mine", "theirs").sortWithinPartitions("band", "mine", "theirs")
     found = map_arrow(blocks, _block_pairs(tries), f"a {kind}, b {kind}, more boolean")
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more")
@@ -315,9 +321,11 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     def split() -> tuple[DataFrame, DataFrame, int]:
         placed = together.join(found, together["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
         drawn = F.struct(F.xxhash64("id", F.lit(round_)).alias("k"), F.col("id").alias("id"))
-        parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("drawn"))
-        mixed = parts.groupBy("band").agg(F.max_by(F.struct("component", "drawn"), "n").alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most"))
-        mixed = written(mixed.where("kinds > 1 and n > 2").select("band", "n", "most", F.col("major.component").alias("major"), F.col("major.drawn.id").alias("drawn")), "near-mixed")
+        parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("drawn"), F.sum(1 + F.floor(F.col("n") / HEAVY)).alias("weight"))
+        major = F.max_by(F.struct("component", "drawn", "weight"), F.struct("n", "component"))
+        mixed = parts.groupBy("band").agg(major.alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("weight").alias("weight"))
+        mixed = mixed.where("kinds > 1 and n > 2").select("band", "n", "most", F.col("major.component").alias("major"), F.col("major.drawn.id").alias("drawn"), "weight", (F.col("weight") - F.col("major.weight")).alias("minor_weight"))
+        mixed = written(mixed, "near-mixed")
         return placed, mixed, mixed.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
 
     while True:
@@ -337,6 +345,8 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
         links = links.union(_confirm(cross.select("a", "b"), texts, k))
         found = components(links)
         # two components of which the likeliest pairs don't link, but there were others
+        if cross.where("more").isEmpty():
+            break
         one, two = (found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
         apart = cross.where("more").join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         if apart.isEmpty():

@@ -2,6 +2,7 @@
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -454,6 +455,42 @@ def test_near_dedup_loses_no_link(spark):
     assert got == _brute_components(texts, 2)
 
 
+def test_near_dedup_deals_a_family_of_unlike_copies_once(spark, monkeypatch):
+    """Many documents that share band values and don't link: each goes to one block a side, not to one for every 256 others."""
+    rng = np.random.default_rng(33)
+    base = [f"b{j}" for j in range(40)]
+    texts = {i: " ".join(base + [f"u{x}" for x in rng.integers(0, 10**9, 20)]) for i in range(4000)} | {5000: " ".join(base + [f"v{j}" for j in range(20)]), 5001: " ".join(base + [f"v{j}" for j in range(19)])}
+    dealt, plain = [], near_dedup.map_arrow
+
+    def counted(df, function, schema):
+        if "more" in schema:
+            dealt.append((df.count(), df.select("band", "id").distinct().count()))
+        return plain(df, function, schema)
+
+    monkeypatch.setattr(near_dedup, "map_arrow", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=2).collect()}
+    assert {i for i, c in got.items() if i != c} == {5001} and got[5001] == 5000
+    assert dealt and all(rows <= 2 * own for rows, own in dealt)
+
+
+@pytest.mark.parametrize("few", [0, 10**5])
+def test_components_by_either_way(spark, monkeypatch, few):
+    rng = np.random.default_rng(few % 7)
+    edges = [(int(a), int(b)) for a, b in zip(rng.integers(-200, 200, 230), rng.integers(-200, 200, 230), strict=True)] + [(7, 7), (None, 3)]
+    calls = []
+    module = sys.modules["ruleweave.llm.components"]
+    solve = module._joined
+    monkeypatch.setattr(module, "FEW", few)
+    monkeypatch.setattr(module, "_joined", lambda t: calls.append(1) or solve(t))
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    least = {x: x for a, b in edges if a is not None and a != b for x in (a, b)}
+    for _ in least:
+        for a, b in edges:
+            if a is not None and a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least and bool(calls) == bool(few)
+
+
 def test_parity_bits_never_rule_a_link_out():
     rng = np.random.default_rng(5)
     for n in (1, 3, 9, 40, 500, 3000):
