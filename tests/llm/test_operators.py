@@ -732,3 +732,33 @@ def test_pages_extra_columns(spark, tmp_path):
     pages = pd.DataFrame({"page_id": [1], "url": ["u"], "html": ["h"], "digest": ["clash"], "id": [5], "refers_to": [9]})
     done = warc.write_archives(spark.createDataFrame(pages), f"file://{tmp_path}").collect()
     assert done[0]["records"] == 1
+
+
+def test_repeated_passages_with_edits_despite_holders_of_parts(spark):
+    """Later documents share an edited passage whose seeds all have earlier holders, without the passage; no run of 50 words is whole."""
+    p = [f"p{j}" for j in range(90)]
+    around = lambda n, w: [f"{n}a{j}" for j in range(30)] + w + [f"{n}z{j}" for j in range(30)]
+    edited = lambda n, at: [f"{n}e{j}" if j in at else w for j, w in enumerate(p)]
+    texts = {k: around(f"k{k}", p[b : b + 24]) for k, b in enumerate(range(0, 80, 10))}
+    texts |= {20: around("m", p), 21: around("n", edited("n", (22, 44, 66))), 22: around("o", edited("o", (15, 35, 55, 75)))}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["partner"]) for r in substring_dedup.repeated_passages(df).collect() if r["end_word"] - r["first_word"] >= 80}
+    assert {(21, 20), (22, 20)} <= got
+    assert {d for d, _ in got} == {21, 22}
+
+
+def test_words_around_that_can_be_a_passage():
+    """The filter keeps whatever 50 words around a seed align to 40 equal ones, and drops a common line between other words."""
+    rng = np.random.default_rng(3)
+    side, k = substring_dedup.LEAST - substring_dedup.K, substring_dedup.K
+    for _ in range(50):
+        x = rng.integers(2, 65_535, 2 * side + k).astype(np.uint16)
+        y = rng.integers(2, 65_535, 2 * side + k).astype(np.uint16)
+        begin = int(rng.integers(0, side + 1))  # 50 words from here hold the seed
+        y[begin : begin + 50] = x[begin : begin + 50]
+        edits = rng.choice([j for j in range(begin, begin + 50) if not side <= j < side + k], 10, replace=False)
+        y[edits] = 1
+        assert substring_dedup.alike_around(x[None], y[None])[0]
+        y[begin + 30 : begin + 50] = 1
+        y[begin : max(begin, begin + 12)] = 1
+        assert not substring_dedup.alike_around(x[None], y[None])[0]
