@@ -762,3 +762,73 @@ def test_words_around_that_can_be_a_passage():
         y[begin + 30 : begin + 50] = 1
         y[begin : max(begin, begin + 12)] = 1
         assert not substring_dedup.alike_around(x[None], y[None])[0]
+
+
+def test_words_in_common_bound_alignments():
+    """A product of the filter's matrices counts what two rows have in common, as often as both have it, and never less."""
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 30, (40, 94)).astype(np.uint32)
+    codes[:20, 10:] = 7
+    counts, has = substring_dedup.counted(codes)
+    got, exact = counts @ has.T, 0
+    for a in range(40):
+        for b in range(40):
+            both = (Counter(codes[a][codes[a] > 0].tolist()) & Counter(codes[b][codes[b] > 0].tolist())).total()
+            assert both <= got[a, b]
+            exact += got[a, b] <= both + 12
+    assert exact > 1_400
+
+
+def open_seed(around, before, ask=True):
+    """A block of occurrences of one seed, each in a document of its own."""
+    n = len(around)
+    columns = {"h": [1] * n, "mine": [0] * n, "theirs": [0] * n, "side": [0] * n, "id": list(range(n)), "pos": [100] * n, "class": list(range(n)), "now": list(range(n))}
+    columns |= {"around": [x.tobytes() for x in around], "before": before, "ask": [ask] * n if isinstance(ask, bool) else ask}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def test_open_seeds_stop_at_enough_partners_and_go_on_for_the_rest(monkeypatch):
+    """Places alike in many documents are aligned up to the number that counts, and only those that had more are asked for again."""
+    aligned, real = [], substring_dedup.alike_around
+    monkeypatch.setattr(substring_dedup, "alike_around", lambda one, two: aligned.append(len(one)) or real(one, two))
+    around = np.tile(np.random.default_rng(5).integers(2, 65_535, 94).astype(np.uint16), (300, 1))
+    block = open_seed(around, [0] * 300)
+    first = pa.Table.from_batches(substring_dedup._alike(4)(iter([block]))).to_pylist()
+    assert sum(aligned) <= 40 * 300  # of 44,850 pairs
+    assert {(r["a"], r["b"]) for r in first} == {(a, b) for b in range(300) for a in range(min(4, b))}
+    assert {r["b"] for r in first if r["more"]} == set(range(5, 300)) and all(r["later"] for r in first)
+    again = pa.Table.from_batches(substring_dedup._alike(400)(iter([open_seed(around, [0] * 300, [k == 299 for k in range(300)])]))).to_pylist()
+    assert {(r["a"], r["b"]) for r in again} == {(a, 299) for a in range(299)} and not any(r["more"] for r in again)
+    # those that go on from an equal seed before meet only others
+    aligned.clear()
+    got = pa.Table.from_batches(substring_dedup._alike(400)(iter([open_seed(around, [5] * 200 + [6] * 99 + [0])]))).to_pylist()
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in range(200) for b in range(200, 299)} | {(a, 299) for a in range(299)}
+
+
+def test_repeated_passages_join_in_rounds(spark, monkeypatch):
+    """With few partners a round, documents that share a passage whose first holder has other words around its seeds are still joined."""
+    rng = np.random.default_rng(6)
+    run = ["the"] * 46
+    texts = {i: [f"a{x}" for x in rng.integers(0, 10**9, 20)] + run[: 26 + i] + [f"b{x}" for x in rng.integers(0, 10**9, 20)] for i in range(14)}
+    p = [f"p{j}" for j in range(12)]
+    for i in range(14, 26):
+        own = run + p
+        own[int(rng.integers(8, 40))] = f"z{i}"
+        texts[i] = [f"c{x}" for x in rng.integers(0, 10**9, 20)] + own + [f"d{x}" for x in rng.integers(0, 10**9, 20)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+
+    def joined():
+        up = {i: i for i in texts}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for r in substring_dedup.repeated_passages(df).collect():
+            up[root(r["doc_id"])] = root(r["partner"])
+        return [{j for j in texts if root(j) == root(i)} for i in range(14, 26)]
+
+    whole = joined()
+    monkeypatch.setattr(substring_dedup, "TRIES", 1)
+    assert joined() == whole and all(x >= set(range(14, 26)) for x in whole)
