@@ -21,7 +21,7 @@ the whole sequence is one shingle; without words the set is empty and links with
 6. Then all documents of different components that share a band value are compared by their parity bits, in blocks of
    about ``BLOCK`` documents on each side (fewer if they are long), members outside the largest component against all. Of the pairs that may link, each block
    gives the ``TRIES`` likeliest of each two components, to be confirmed on full sets; if those fail and there were more, this
-   is done again with more. So no link between components is lost, within a component no comparison is needed, and
+   is done again with more, for such components only. So no link between components is lost, within a component no comparison is needed, and
    what moves is a byte a shingle at most, not texts.
 
 The texts of documents that share a band value are dealt out once, for all confirmations. Links, components and
@@ -277,8 +277,9 @@ def _cross_pairs(placed: DataFrame, mixed: DataFrame, n_rows: int, reps: DataFra
     components in a block; more: there are others."""
     kind = reps.schema["id"].dataType.simpleString()
     rows = hot_join(placed.select("band", "id", "component"), mixed.select("band", "major", F.col("n").alias("rows"), "weight", "minor_weight"), ["band"], n_rows, "inner")
-    # bits are met once a row; only after that is a row dealt to its blocks
-    rows = rows.join(reps.select("id", "n", "odd"), "id")
+    # bits are met once a document, with all its band values; only after that is it dealt to its blocks
+    rows = rows.groupBy("id", "component").agg(F.collect_list(F.struct("band", "major", "weight", "minor_weight")).alias("bands"))
+    rows = rows.join(reps.select("id", "n", "odd"), "id").select("id", "component", "n", "odd", F.explode("bands").alias("in")).select("id", "component", "n", "odd", "in.*")
     n_mine, n_theirs = F.ceil(F.col("minor_weight") / BLOCK), F.ceil(F.col("weight") / BLOCK)
     own = lambda n: F.array(F.pmod(F.xxhash64("id"), n))
     every = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
@@ -318,13 +319,15 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     # what is in one band value but in several components
     n_rows, round_, asking = together.count(), 0, True
 
-    def split() -> tuple[DataFrame, DataFrame, int]:
+    def split(among: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
         placed = together.join(found, together["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+        if among is not None:
+            placed = placed.join(among, "component", "left_semi")
         drawn = F.struct(F.xxhash64("id", F.lit(round_)).alias("k"), F.col("id").alias("id"))
         parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("drawn"), F.sum(1 + F.floor(F.col("n") / HEAVY)).alias("weight"))
         major = F.max_by(F.struct("component", "drawn", "weight"), F.struct("n", "component"))
         mixed = parts.groupBy("band").agg(major.alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("weight").alias("weight"))
-        mixed = mixed.where("kinds > 1 and n > 2").select("band", "n", "most", F.col("major.component").alias("major"), F.col("major.drawn.id").alias("drawn"), "weight", (F.col("weight") - F.col("major.weight")).alias("minor_weight"))
+        mixed = mixed.where(F.col("kinds") > 1 if among is not None else "kinds > 1 and n > 2").select("band", "n", "most", F.col("major.component").alias("major"), F.col("major.drawn.id").alias("drawn"), "weight", (F.col("weight") - F.col("major.weight")).alias("minor_weight"))
         mixed = written(mixed, "near-mixed")
         return placed, mixed, mixed.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
 
@@ -348,10 +351,12 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
         if cross.where("more").isEmpty():
             break
         one, two = (found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        apart = cross.where("more").join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        if apart.isEmpty():
+        apart = cross.where("more").join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+        # all pairs of other components were compared, so only these components are compared again
+        among = written(apart.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "near-apart")
+        if among.isEmpty():
             break
-        placed, mixed, pairs = split()
+        placed, mixed, pairs = split(among)
         tries *= 8
     discard(together, reps, texts)
 

@@ -473,6 +473,30 @@ def test_near_dedup_deals_a_family_of_unlike_copies_once(spark, monkeypatch):
     assert dealt and all(rows <= 2 * own for rows, own in dealt)
 
 
+def test_near_dedup_goes_on_only_with_components_that_had_more(spark, monkeypatch):
+    """Pairs a little too unlike make further rounds; documents that may link with nothing are dealt in the first one only."""
+    rng = np.random.default_rng(34)
+    base, texts = [f"b{j}" for j in range(150)], {}
+    for i in range(20):
+        for k in range(8):  # 133 of 167 shingles in common with those of k = 0
+            own = base[: 149 - 16 * k] + [f"e{k}x{j}" for j in range(16)] + base[165 - 16 * k : 149] if k else base[:149]
+            texts[20 * k + i] = " ".join([*own, f"last{i}"])
+    other = [f"c{j}" for j in range(40)]
+    texts |= {1000 + i: " ".join(other + [f"u{x}" for x in rng.integers(0, 10**9, 20)]) for i in range(200)}
+    dealt, plain = [], near_dedup.map_arrow
+
+    def seen(df, function, schema):
+        if "more" in schema:
+            dealt.append({r["id"] for r in df.select("id").distinct().collect()})
+        return plain(df, function, schema)
+
+    monkeypatch.setattr(near_dedup, "map_arrow", seen)
+    monkeypatch.setattr(near_dedup, "TRIES", 1)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=2).collect()}
+    assert got == _brute_components(texts, 2)
+    assert len(dealt) > 1 and max(dealt[0]) >= 1000 and all(max(ids) < 1000 for ids in dealt[1:])
+
+
 @pytest.mark.parametrize("few", [0, 10**5])
 def test_components_by_either_way(spark, monkeypatch, few):
     rng = np.random.default_rng(few % 7)
