@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -324,13 +325,13 @@ class UdfAlgebra(Algebra):
         return self._call(lambda x, y: y if x is None else x if y is None else self.py_plus(x, y), a, b)
 
     def sum(self, tags: Column) -> Column:
-        def merged(values: list) -> Any:
-            total = self.py_zero()
-            for v in values:
-                total = self.py_plus(total, v)
-            return total
+        return self._call(self.py_sum, F.collect_list(tags))
 
-        return self._call(merged, F.collect_list(tags))
+    def py_sum(self, values: list) -> Any:
+        total = self.py_zero()
+        for v in values:
+            total = self.py_plus(total, v)
+        return total
 
     def negate(self, a: Column) -> Column:
         return self._call(lambda x: None if x is None else self.py_negate(x), a)
@@ -392,6 +393,10 @@ class Proofs(UdfAlgebra):
     def py_plus(self, a: list, b: list) -> list:
         return self._best(self._set(a) | self._set(b))
 
+    def py_sum(self, values: list) -> list:
+        """All at once: the best of a union are the best of its parts' best, and ranking every partial sum takes the square of a group's size."""
+        return self._best(set().union(*map(self._set, values)))
+
     def py_times(self, a: list, b: list) -> list:
         return self._best({c for x, y in itertools.product(self._set(a), self._set(b)) if (c := self._joined(x, y)) is not None})
 
@@ -432,6 +437,9 @@ class SampledProofs(Proofs):
         super().__init__(k, name)
         self.parts = 1  # a draw is from a whole group
 
+    def py_sum(self, values: list) -> list:
+        return UdfAlgebra.py_sum(self, values)  # a draw follows each sum
+
     def _best(self, clauses: set) -> list:
         import random
 
@@ -467,6 +475,31 @@ def _given_fact(clauses: set, fact: int, holds: bool) -> set:
     return out
 
 
+def _given_member(clauses: frozenset, group: int, members: dict[int, float]) -> tuple[Callable[[int], frozenset], frozenset]:
+    """The clauses after one fact of an exclusive group is known to hold, by the fact, and after none holds.
+
+    The clauses are sorted out once, so a group of many facts takes no more than one pass.
+    """
+    own: dict[int, set] = {}  # by the fact they need
+    without: list[tuple[tuple, set]] = []  # need that some facts don't hold
+    rest = set()
+    for c in clauses:
+        needs, bars = {x[0] for x in c if x[2] == group and not x[3]}, {x[0] for x in c if x[2] == group and x[3]}
+        other = tuple(x for x in c if x[2] != group)
+        if not needs and not bars:
+            rest.add(c)
+        elif not needs:
+            without.append((other, bars))
+        elif len(needs) == 1 and not needs & bars:
+            own.setdefault(next(iter(needs)), set()).add(other)
+    rest = frozenset(rest)
+
+    def left(fact: int) -> frozenset:
+        return rest.union(own.get(fact, ()), (c for c, bars in without if fact not in bars))
+
+    return left, rest.union(c for c, _ in without)
+
+
 def wmc(clauses: set) -> float:
     """The probability of a disjunction of clauses, by Shannon expansion over facts and exclusive groups."""
     memo: dict = {}
@@ -479,16 +512,15 @@ def wmc(clauses: set) -> float:
         if now in memo:
             return memo[now]
         first = min((x for c in now for x in c), key=lambda x: (x[2] is None, x[0]))
+        total = 0.0
         if first[2] is None:
             p = first[1]
             total = p * solve(frozenset(_given_fact(now, first[0], True))) + (1 - p) * solve(frozenset(_given_fact(now, first[0], False)))
         else:  # one of the group's facts holds, or none
             members = {x[0]: x[1] for c in now for x in c if x[2] == first[2]}
-            total, none = 0.0, now
-            for fact in members:
-                none = frozenset(_given_fact(none, fact, False))
+            left, none = _given_member(now, first[2], members)
             for fact, p in members.items():
-                total += p * solve(frozenset(_given_fact(now, fact, True)))
+                total += p * solve(left(fact))
             total += max(0.0, 1 - sum(members.values())) * solve(none)
         memo[now] = total
         return total

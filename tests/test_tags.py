@@ -123,3 +123,32 @@ def test_gradients(spark):
     q = Program(spark, "diffaddmultprob").add("rel a = {0.4::1}\nrel b = {0.5::1}\nrel r() = a(1), b(1)")
     tag = q.relation("r").collect()[0]["tag"]
     assert math.isclose(tag["p"], 0.2) and sorted(round(v, 6) for v in tag["gradient"].values()) == [0.4, 0.5]
+
+
+def test_exclusive_groups_take_one_pass(monkeypatch):
+    """Sums rank a group's proofs once, and a group of exclusive facts isn't gone through for each of its facts."""
+    looked = []
+    chance = tags.Proofs._chance
+    monkeypatch.setattr(tags.Proofs, "_chance", staticmethod(lambda c: looked.append(1) or chance(c)))
+    monkeypatch.setattr(tags, "_given_fact", lambda *_: pytest.fail("one fact after the other"))
+    n = 3_000
+    a = tags.Proofs()
+    total = a.py_sum([[[(2 * k, 1 / (2 * n), 7, False)]] for k in range(n)] + [[[(0, 1 / (2 * n), 7, False)]]])
+    assert len(total) == n and len(looked) == n
+    assert math.isclose(a.py_weight(total), 0.5, abs_tol=1e-9)
+
+
+def test_exclusive_groups_with_negation():
+    """Against all worlds: each one fact of the group or none, and each other fact or not."""
+    group, free = {1: 0.2, 2: 0.3, 3: 0.1}, {10: 0.6, 11: 0.5}
+    clauses = [[(1, 0.2, 7, False), (10, 0.6, None, False)], [(2, 0.3, 7, True), (11, 0.5, None, False)], [(3, 0.1, 7, False), (1, 0.2, 7, True)], [(1, 0.2, 7, True), (2, 0.3, 7, True), (10, 0.6, None, True)], [(1, 0.2, 7, False), (2, 0.3, 7, False)]]
+    for size in range(1, len(clauses) + 1):
+        for some in itertools.combinations(clauses, size):
+            want = 0.0
+            for one in [None, *group]:
+                for on in itertools.product((True, False), repeat=2):
+                    true = {one} | {f for f, x in zip(free, on, strict=True) if x}
+                    p = group[one] if one else 1 - sum(group.values())
+                    p *= math.prod(free[f] if x else 1 - free[f] for f, x in zip(free, on, strict=True))
+                    want += p * any(all((x[0] in true) != x[3] for x in c) for c in some)
+            assert math.isclose(tags.wmc(tags.Proofs._set(some)), want, abs_tol=1e-9)
