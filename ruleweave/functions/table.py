@@ -26,6 +26,8 @@ class Predicate:
     rows: Callable[..., Column] | None = None
     holds: Callable[..., Column] | None = None
     prob: Callable[..., Column] | None = None
+    #: Whether the rows of one call differ from each other.
+    unique: bool = False
     #: Takes one row per call of a Python function instead: lists of tuples.
     udf: Callable | None = None
 

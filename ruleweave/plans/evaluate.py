@@ -20,6 +20,7 @@ from ..functions.scalar import FUNCTIONS, Typed, TypeProblem, binary, cast, enti
 from ..functions.table import PREDICATES, Predicate
 from ..operators.aggregates import NAMES, Spec, aggregate, output_types, parameters
 from ..operators.tags import TAG, Algebra
+from ..storage import written
 from ..types import FLOATS, INTEGERS, NUMBERS, SPARK
 from .normal import Aggregate, Exists, FlatRule, solve, variables
 from .syntax import Atom, Binary, Call, Cast, Check, Const, IfElse, Not, ProgramError, Unary, Var, Wild
@@ -471,13 +472,19 @@ class Evaluator:
 
     known: set[str] = set()
     first: set[int] = set()
+    #: Relations that rules derive, and the rows of others before equal ones are merged.
+    derived: set[str] = set()
+    raw: dict[str, DataFrame] = {}
+    #: Rows of atoms that are scanned already, by their place in the body.
+    scanned: dict[int, DataFrame] = {}
     #: Whether rows whose tag says so are dropped as soon as they are derived.
     discards = True
 
     def _rows(self, x: Any, k: int, rel: Callable, outer: set[str], literals: tuple) -> Table:
         if isinstance(x, Atom):
             df, kinds = rel(k, x.pred)
-            return self.scan(x, df, kinds)
+            made = self.scan(x, df, kinds)
+            return Table(self.scanned.get(k, made.df), made.types)
         others = outer | {v for n, y in enumerate(literals) if n != k for v in variables(y)}
         return self.reduced(x, rel, others)
 
@@ -584,6 +591,58 @@ class Evaluator:
 
     # rules
 
+    def keyed(self, rule: FlatRule, rel: Callable, kinds: list[str]) -> list[DataFrame] | None:
+        """The rows of a rule in parts, of which the first is distinct as it is, where merging would gather many times what is read.
+
+        That is a join on variables that the head lacks, or a predicate that computes rows. The head has variables that occur once in
+        the rows of one atom, which give its others; the head has all further variables. So its rows come
+        once from each such row. The rows of that atom whose head variables repeat are a part that has to be merged. None: not such a rule,
+        or over derived relations, which would be computed twice for it.
+        """
+        head = [x.name for x in rule.head.args if isinstance(x, Var)]
+        atoms = [(k, x) for k, x in enumerate(rule.body) if isinstance(x, Atom) and rel(k, x.pred) is not None]
+        computed = [x for k, x in enumerate(rule.body) if isinstance(x, Atom) and rel(k, x.pred) is None]
+        checks = [x for x in rule.body if isinstance(x, Check)]
+        if self.algebra.type or any(x.pred in self.derived for _, x in atoms) or len(set(head)) != len(rule.head.args) or len(atoms) + len(computed) + len(checks) != len(rule.body):
+            return None
+        names = {k: {v for a in x.args for v in variables(a)} for k, x in atoms}
+        if len(atoms) == 2 and not computed:
+            (one, _), (two, _) = atoms
+            if not names[one] & names[two] or names[one] & names[two] <= set(head) or not names[one] & set(head) or not names[two] & set(head):
+                return None
+        elif len(atoms) != 1 or not computed:
+            return None
+        for x in computed:
+            p = self.predicates.get(x.pred)
+            if p is None or p.holds is None and p.prob is None and (not p.unique or not all(isinstance(a, Var) and a.name in head for a in x.args[p.bound :])):
+                return None
+            if p.holds is None and ({a.name for a in x.args[p.bound :]} & {v for n in names.values() for v in n} or len({a.name for a in x.args[p.bound :]}) < len(p.free)):
+                return None
+        for k, x in atoms:
+            df, types = rel(k, x.pred)
+            key = [v for v in names[k] if v in head]
+            if not key or not all(names[j] <= names[k] | set(head) for j, _ in atoms) or len(types) != len(x.args):
+                continue
+            known = self.body_types(rule.body, lambda n: rel(-1, n)[1] if rel(-1, n) is not None else None, set())
+            if any(known.get(v) != t for v, t in zip(head, kinds, strict=True)):
+                return None
+            whole = self.scan(x, self.raw.get(x.pred, df), types)
+            columns = [column_of(v) for v in sorted(key)]
+            often = whole.df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*columns)
+            parts = [whole.df]
+            if not often.isEmpty():
+                often = written(often, "often")
+                parts = [whole.df.join(often, columns, "left_anti"), whole.df.join(often, columns, "left_semi")]
+            out = []
+            for n, part in enumerate(parts):
+                if len(atoms) == 2:  # what joins is many times what is read, so it is made in many tasks
+                    part = part.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *columns)
+                self.scanned = {k: part.select(*whole.df.columns)} | {j: self.scan(y, *rel(j, y.pred)).df.distinct() for j, y in atoms if j != k}
+                out.append(self.rule(rule, rel, kinds))
+            self.scanned = {}
+            return out
+        return None
+
     def rule(self, rule: FlatRule, rel: Callable, kinds: list[str], first: set[int] | None = None, hints: dict | None = None) -> DataFrame:
         """The rows that a rule derives: c0, c1, ... and the tag; not yet merged."""
         outer = variables(rule.head) | (variables(rule.tag) if rule.tag is not None else set())

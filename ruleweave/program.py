@@ -212,7 +212,7 @@ class Program:
                 return None
             return empty(self.spark, kinds.get(name) or [], self.algebra.type), kinds.get(name) or []
 
-        evaluator.known = set(kinds)
+        evaluator.known, evaluator.derived, evaluator.raw = set(kinds), heads, {}
         for group in groups:
             own = [r for r in rules if r.head.pred in group]
             used = sorted({n for r in own for n, _ in predicates(r.body)} - set(group))
@@ -257,6 +257,11 @@ class Program:
 
     def _once(self, evaluator: Evaluator, name: str, rules: list[FlatRule], base: DataFrame | None, kinds: dict, outside: Callable, hints: Callable) -> DataFrame:
         parts = [] if base is None else [base]
+        columns = [f"c{k}" for k in range(len(kinds[name]))] or ["c0"]
+        if base is not None and not rules:
+            evaluator.raw[name] = base
+        if base is None and len(rules) == 1 and (found := evaluator.keyed(rules[0], lambda _, p: outside(p), kinds[name])) is not None:
+            return found[0] if len(found) == 1 else found[0].unionByName(evaluator.merged_rows(found[1], columns))
         for r in rules:
             parts.append(evaluator.rule(r, lambda _, p: outside(p), kinds[name], None, hints(r)))
         if not parts:
@@ -264,7 +269,7 @@ class Program:
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        return evaluator.merged_rows(df, [f"c{k}" for k in range(len(kinds[name]))] or ["c0"])
+        return evaluator.merged_rows(df, columns)
 
     def _types(self, evaluator: Evaluator, rules: list[FlatRule]) -> dict[str, list[str]]:
         kinds: dict[str, list] = {n: list(c) for n, c in self.source.columns.items()}

@@ -374,3 +374,14 @@ def test_stream_of_facts_and_restart(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen == [1, 3, 6]
+
+
+def test_pairs_are_not_gathered(spark):
+    """Pairs of a self-join stream out of it; keys that repeat are merged, here by two groups and by equal rows."""
+    rows = [(1, 7), (2, 7), (3, 7), (4, 8), (5, 8), (2, 8), (5, 8)]
+    text = "rel out(a, b) = one(a, n), one(b, n), a < b"
+    plan = Program(spark).add_table("one", spark.createDataFrame(rows[:5], "k int, n int")).add(text).explain("out")
+    assert plan.index("Join") < (plan + "HashAggregate").index("HashAggregate")
+    got = Program(spark).add_table("one", spark.createDataFrame([*rows, (1, 8)], "k int, n int")).add(text).relation("out").collect()
+    each = {(a, b) for a, n in [*rows, (1, 8)] for b, m in [*rows, (1, 8)] if n == m and a < b}
+    assert sorted(map(tuple, got)) == sorted(each)
