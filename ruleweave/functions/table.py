@@ -50,7 +50,7 @@ def _byte_places(s: Typed) -> Column:
 
 def _parts(s: Typed, separator: Typed) -> Column:
     quoted = F.concat(F.lit("\\Q"), F.replace(separator[0], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.transform(F.split(s[0], quoted), lambda c: F.struct(c.alias("c0")))
+    return F.transform(F.array_distinct(F.split(s[0], quoted)), lambda c: F.struct(c.alias("c0")))
 
 
 def _found(s: Typed, part: Typed) -> Column:
@@ -99,13 +99,13 @@ def _difference(a: Typed, b: Typed) -> Column:
 
 
 PREDICATES: dict[str, Predicate] = {
-    "range": Predicate(2, ("=0",), rows=_range),
-    "string_chars": Predicate(1, ("usize", "char"), rows=_characters),
-    "string_index": Predicate(1, ("usize",), rows=_byte_places),
-    "string_find": Predicate(2, ("usize", "usize"), rows=_found),
-    "string_split": Predicate(2, ("String",), rows=_parts),
+    "range": Predicate(2, ("=0",), rows=_range, unique=True),
+    "string_chars": Predicate(1, ("usize", "char"), rows=_characters, unique=True),
+    "string_index": Predicate(1, ("usize",), rows=_byte_places, unique=True),
+    "string_find": Predicate(2, ("usize", "usize"), rows=_found, unique=True),
+    "string_split": Predicate(2, ("String",), rows=_parts, unique=True),
     "datetime_ymd": Predicate(1, ("i32", "u32", "u32"), rows=lambda d: F.array(F.struct(F.year(d[0]).alias("c0"), F.month(d[0]).cast("bigint").alias("c1"), F.dayofmonth(d[0]).cast("bigint").alias("c2")))),
-    "tensor_shape": Predicate(1, ("usize", "i64"), rows=_shape),
+    "tensor_shape": Predicate(1, ("usize", "i64"), rows=_shape, unique=True),
     "float_eq": Predicate(2, holds=lambda a, b: F.abs(a[0] - b[0]) < 0.001),
     **soft_comparisons(),
     "new_tag_variable": Predicate(0, prob=lambda: F.lit(1.0)),

@@ -385,3 +385,13 @@ def test_pairs_are_not_gathered(spark):
     got = Program(spark).add_table("one", spark.createDataFrame([*rows, (1, 8)], "k int, n int")).add(text).relation("out").collect()
     each = {(a, b) for a, n in [*rows, (1, 8)] for b, m in [*rows, (1, 8)] if n == m and a < b}
     assert sorted(map(tuple, got)) == sorted(each)
+
+
+def test_parts_of_texts_are_not_gathered(spark):
+    """Rows that a predicate computes stream out; ids that repeat are merged."""
+    rows = [(1, "a b a"), (2, "b"), (3, "c a"), (3, "a d"), (2, "b")]
+    text = 'rel out(k, w) = doc(k, t), string_split(t, " ", w)'
+    plan = Program(spark).add_table("doc", spark.createDataFrame(rows[:3], "k int, t string")).add(text).explain("out")
+    assert "Generate" in plan and "HashAggregate" not in plan
+    got = Program(spark).add_table("doc", spark.createDataFrame(rows, "k int, t string")).add(text).relation("out").collect()
+    assert sorted(map(tuple, got)) == sorted({(k, w) for k, t in rows for w in t.split(" ")})
