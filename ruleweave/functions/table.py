@@ -28,6 +28,8 @@ class Predicate:
     prob: Callable[..., Column] | None = None
     #: Whether the rows of one call differ from each other.
     unique: bool = False
+    #: Whether it is worth while to compute equal arguments once.
+    once: bool = False
     #: Takes one row per call of a Python function instead: lists of tuples.
     udf: Callable | None = None
 

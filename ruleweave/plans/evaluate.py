@@ -376,6 +376,9 @@ class Evaluator:
                 fact = F.xxhash64(F.lit(atom.pred), *[c for c, _ in args])
                 df = df.withColumn(TAG, self.algebra.times(F.col(TAG), self.algebra.given(p.prob(*args), fact, F.lit(None).cast("bigint"))))
             return Table(df, table.types)
+        own = [x.name for x in free if isinstance(x, Var)]
+        if p.once and not self.algebra.type and len(set(own)) == len(own) and not set(own) & set(table.types):
+            return self._once_each(table, p, args, free)
         df = df.withColumn("__row", F.explode(p.rows(*args)))
         types = dict(table.types)
         if "tag" in p.free:
@@ -390,6 +393,34 @@ class Evaluator:
                 types[x.name] = kind
         return Table(df.drop("__row"), types)
 
+    def _once_each(self, table: Table, p: Predicate, args: list[Typed], free: tuple) -> Table:
+        """A predicate that is dear to compute, once for each of its different arguments, in tasks of their own."""
+        names = [f"__given{k}" for k in range(len(args))]
+        df = table.df.withColumns({n: c for n, (c, _) in zip(names, args, strict=True)})
+        made = df.select(*names).distinct().withColumn("__row", F.explode(p.rows(*[(F.col(n), t) for n, (_, t) in zip(names, args, strict=True)])))
+        types, columns = dict(table.types), []
+        for k, (x, kind) in enumerate(zip(free, p.free, strict=True)):
+            value = F.col("__row")[f"c{k}"]
+            if isinstance(x, Const):
+                made = made.where(value == self.expr(x, types, kind)[0])
+            elif isinstance(x, Var) and x.name not in types:
+                columns.append(value.alias(column_of(x.name)))
+                types[x.name] = kind
+        made = made.select(*names, *columns)
+        if not any(v in self.needed for v in table.types):  # only what is computed goes on
+            return Table(made.select(F.lit(True).alias("v_0unit"), *[c for c in made.columns if c not in names]), {v: t for v, t in types.items() if v not in table.types})
+        return Table(df.join(made, names).drop(*names), types)
+
+    def parsed(self, table: Table, x: Any) -> Typed | None:
+        """The term in a text as a column, where ``x`` asks for it: each different text is parsed once."""
+        if not isinstance(x, Call) or x.name != "parse_entity" or len(x.args) != 1 or not isinstance(x.args[0], Var) or x.args[0].name not in table.types:
+            return None
+        text, made = column_of(x.args[0].name), f"__term_{column_of(x.args[0].name)}"
+        if made not in table.df.columns:
+            terms = table.df.select(text).distinct().withColumn(made, self.expr(x, table.types)[0]).where(F.col(made).isNotNull())
+            table.df = table.df.join(terms, text)
+        return F.col(made), "Entity"
+
     def foreign_not(self, table: Table, atom: Atom) -> Table:
         """Rows for which a computed predicate of bound arguments doesn't hold."""
         p = self.predicates[atom.pred]
@@ -430,6 +461,7 @@ class Evaluator:
                 if isinstance(x, Check) and self._check(table, x.expr, started):
                     done = k
                 elif isinstance(x, Atom) and x.pred in self.predicates and rel(k, x.pred) is None:
+                    self.needed = outer.union(*[variables(y) for n, y in left if n != k])
                     found = self.foreign(Table(started(), table.types), x) if needs(Atom("", x.args[: self.predicates[x.pred].bound])) <= set(table.types) else None
                     if found is not None:
                         table, done = found, k
@@ -472,6 +504,8 @@ class Evaluator:
 
     known: set[str] = set()
     first: set[int] = set()
+    #: Variables that the head or other literals read.
+    needed: set[str] = set()
     #: Relations that rules derive, and the rows of others before equal ones are merged.
     derived: set[str] = set()
     raw: dict[str, DataFrame] = {}
@@ -652,7 +686,7 @@ class Evaluator:
         for k, (x, kind) in enumerate(zip(rule.head.args, kinds, strict=True)):
             if isinstance(x, Wild):
                 raise ProgramError("a wildcard can't be in a head")
-            column, own = self.expr(x, table.types, kind)
+            column, own = self.parsed(table, x) or self.expr(x, table.types, kind)
             columns.append((column if own == kind else column.cast(SPARK[kind])).alias(f"c{k}"))
         if not columns:
             columns = [F.lit(True).alias("c0")]

@@ -395,3 +395,16 @@ def test_parts_of_texts_are_not_gathered(spark):
     assert "Generate" in plan and "HashAggregate" not in plan
     got = Program(spark).add_table("doc", spark.createDataFrame(rows, "k int, t string")).add(text).relation("out").collect()
     assert sorted(map(tuple, got)) == sorted({(k, w) for k, t in rows for w in t.split(" ")})
+
+
+def test_equal_texts_are_parsed_once(spark):
+    """Terms of a text that many rows have are computed from its different texts."""
+    text = ROPE + "rel rope(k, $parse_entity(t)) = told(k, t)\nrel out(k, n) = rope(k, r), case r is Knot(n)"
+    rows = [(k, f"Knot({k % 3})") for k in range(40)] + [(40, "Knot("), (41, "Tie(Knot(1), Knot(2))")]
+    p = Program(spark).add_table("told", spark.createDataFrame(rows, "k int, t string")).add(text)
+    assert sorted(map(tuple, p.relation("out").collect())) == sorted((k, k % 3) for k in range(40))
+    assert p.relation("rope").count() == 41
+    for name in ("rope", "Knot"):
+        lines = p.run(only=[name]).explain(name).split("== Physical Plan ==")[1].split("\n\n")[0].split("\n")
+        at = next(k for k, x in enumerate(lines) if "BatchEvalPython" in x or "ArrowEvalPython" in x)
+        assert "HashAggregate" in "".join(lines[at + 1 : at + 3])
